@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, quality, sharding, simhash, substring
+from . import langid, lm, pieces, quality, sharding, simhash, substring
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read_table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op5_lm_scoring, op6_substring_dedup, op8_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op5_lm_scoring, op6_substring_dedup, op8_quality_rules, op9_sharding)}
 ORACLE = {"op6_substring_dedup": OP6_SQL}
