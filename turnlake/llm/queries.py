@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, pieces, quality, sharding, simhash, substring
+from . import decontam, langid, lm, pieces, pii, quality, sharding, simhash, substring, warc
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,10 @@ FROM words LEFT JOIN gone USING (doc_id)
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -58,5 +66,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op5_lm_scoring, op6_substring_dedup, op8_quality_rules, op9_sharding)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_pii, op5_lm_scoring, op6_substring_dedup, op7_warc, op8_quality_rules, op9_sharding, op10_decontamination)}
 ORACLE = {"op6_substring_dedup": OP6_SQL}
