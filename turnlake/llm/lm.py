@@ -218,7 +218,7 @@ def discount_of(n1: float, n2: float) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, theta: float = 1.0, theta0: float = 1.0, seed: int = 11, block_tokens: int = 2_000_000, bucket_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, theta: float = 1.0, theta0: float = 1.0, seed: int = 11, block_tokens: int = 1_500_000, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     n_buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
@@ -244,7 +244,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = Bucket(row)
                 b.start()
                 extra = [b.word_counts.sum(), (b.word_counts > 0).sum(), *[(b.counts == k).sum() for k in (1, 2)], *[(b.parent_counts == k).sum() for k in (1, 2)]]
@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def sweep(batches: Iterator[pa.RecordBatch], past: list = past) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     b = Bucket(row)
                     for _ in replay(b, past):
                         pass
@@ -275,12 +275,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         history.append(_summed(model_rows.mapInArrow(sweep, "place int, value double"), size))
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}  # sums of a block's documents over the buckets so far, up to a bound
+        size, last = 0, -1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, sums in held.items():
+                yield _shares([(block, last, None, *[x.tobytes() for x in sums])])
+            held.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["bucket"] is None:
                     yield _shares([(row["block"], -1, row["docs"], None, None, None)])
                     continue
                 b = Bucket(row)
+                last = b.bucket
                 mean = np.zeros(len(b.counts))
                 for number in replay(b, history[:sweeps]):
                     if number > burn:
@@ -294,8 +303,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     entry = np.repeat(use[u : u + n_use], sizes[u : u + n_use])
                     at = (posts[p : p + n_post] & (HELD - 1)).astype(np.int64)
                     u, p = u + n_use, p + n_post
-                    sums = [np.bincount(at, v[entry], minlength=n_docs) for v in (logs, base)]
-                    yield _shares([(block, b.bucket, None, *[s.tobytes() for s in sums], np.bincount(at, known[entry], minlength=n_docs).astype(np.uint32).tobytes())])
+                    sums = [np.bincount(at, logs[entry], minlength=n_docs), np.bincount(at, base[entry], minlength=n_docs), np.bincount(at, known[entry], minlength=n_docs).astype(np.uint32)]
+                    if block in held:
+                        for have, new in zip(held[block], sums, strict=True):
+                            have += new
+                    else:
+                        held[block] = sums
+                        size += n_docs
+                if size > 1_000_000:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.sort_by("bucket").to_pylist()
@@ -315,6 +333,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return shares.groupBy("block").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time: a packed row is large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 SHARES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary())])
 SHARES_SQL = "block long, bucket int, docs binary, score binary, base binary, known binary"
 
