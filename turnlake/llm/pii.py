@@ -35,7 +35,7 @@ EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]+)(@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
 VALUES = re.compile(
     r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<token>(?<!\w)(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?!\w))"
-    r"|(?P<phone>(?:(?<!\w)\+1[ .-]?|(?<![\w+(-]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w]|-[0-9]))"
+    r"|(?P<phone>(?:(?<!\w)\+1[ .-]?|(?<![\w+-]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w]|-[0-9]))"
     r"|(?P<card>(?<![\w.+-])(?:[0-9]{4}([ -])[0-9]{4}\5[0-9]{4}\5[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\6[0-9]{5}|[0-9]{13,19})(?!\w|[.-][0-9]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-[0-9]))"
