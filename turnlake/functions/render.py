@@ -52,7 +52,8 @@ def excerpt(text: str, offset: int, width: int) -> str:
     if len(raw) <= width:
         return text
     lo = min(max(offset - width // 2, 0), len(raw) - width)
-    lo, hi = _rune_start(raw, lo), _rune_start(raw, lo + width)
+    lo = _rune_start(raw, lo)
+    hi = _rune_start(raw, lo + width)
     return ("…" if lo else "") + raw[lo:hi].decode("utf-8", "replace") + ("…" if hi < len(raw) else "")
 
 
