@@ -130,19 +130,22 @@ def test_pipeline_by_its_parts(spark, data):
     """Each stage against a plain re-computation of what it must keep."""
     import corpus_pipeline as cp
     from turnlake.llm import pii, quality
-    from tests.llm.test_simhash import slow_components, slow_print
+    from turnlake.llm.simhash import shingle_hashes
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     verdict, known = quality.fit(docs, labels), quality._Tokens()
     left = {i: t for i, t in texts.items() if not quality.base_failed(*np.array(quality.base_counts(t))[[0, 4]]) and verdict.score(t, known) >= verdict.threshold}
-    prints = {i: slow_print(t, 5) for i, t in left.items()}
-    root = slow_components(set(prints.values()))
-    first = {}
-    for i in sorted(left):
-        first.setdefault(root[prints[i]], i)
-    left = {i: left[i] for i in first.values()}
+    sets = {i: set(shingle_hashes(t.encode(), 5).tolist()) for i, t in left.items()}
+    root = {i: i for i in left}
+    ids = sorted(left)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if left[a] == left[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    left = {i: left[i] for i in left if root[i] == i}
     found = {r["doc_id"] for r in decontam.contamination(docs, spark.read.parquet(f"{data}/benchmark.parquet")).where("contaminated").collect()}
     left = {i: pii.Pseudonyms().replaced(t)[0] for i, t in left.items() if i not in found}
     import zlib

@@ -90,3 +90,22 @@ def test_keep_one(make, odd):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8, 9, 10]
+
+
+def test_similar_texts_form_groups(make):
+    rng = random.Random(3)
+    rows, group = [], {}
+    for g in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        for k in range(rng.randint(1, 5)):
+            w = list(words)
+            for _ in range(int(len(w) * 0.018) if k else 0):  # each edit spoils five shingles of either text
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            group[len(rows)] = g, k
+            rows.append((len(rows), " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(rows)).collect()}
+    texts = dict(rows)
+    first = {g: i for i, (g, k) in group.items() if k == 0}
+    near = [i for i, (g, k) in group.items() if k and simhash.jaccard(texts[i].encode(), texts[first[g]].encode(), 5) >= 0.8]
+    assert len(near) > 30 and sum(got[i] == first[group[i][0]] for i in near) >= 0.98 * len(near)
+    assert all(group[i][0] == group[c][0] for i, c in got.items())

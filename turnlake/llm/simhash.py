@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, settle
+from .common import mix64, raw_bytes, settle
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -168,9 +168,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of near-duplicates; a row without an id stays."""
-    found = settle(near_duplicates(docs, id_col, text_col, width, max_bits))
+def view_prints(docs: DataFrame, id_col: str, text_col: str, width: int, views: int, sample: int) -> DataFrame:
+    """(doc_id, digest, fp, prints): a 128-bit digest, the fingerprint, and one of each view of a text.
+
+    A view is a seeded order of shingles; its fingerprint is that of the ``sample`` first shingles in it. Texts of
+    similarity s share it with probability about s to the power of ``sample``, other texts hardly ever.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_bytes(batch.column(1))
+            for i in range(0, len(texts), 500):
+                part = texts[i : i + 500]
+                hashes = [shingle_hashes(t, width) for t in part]
+                firsts = []
+                for h in map(np.unique, hashes):
+                    for v in range(views):
+                        order = mix64(h, v)
+                        firsts.append(h[np.argpartition(order, sample)[:sample]] if len(h) > sample else h)
+                prints = majority(firsts).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * views), pa.array(prints))
+                digests = pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in part])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), digests, pa.array(majority(hashes).view(np.int64)), lists], names=["doc_id", "digest", "fp", "prints"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, digest string, fp long, prints array<long>")
+
+
+def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
+    """Share of common shingles of two texts; 1 for equal ones, and for two without words."""
+    x, y = np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width))
+    if a == b or not len(x) + len(y):
+        return 1.0
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 12, sample: int = 3) -> DataFrame:
+    """(doc_id, component_id) of rows with an id: groups of texts linked at ``similarity`` or more of their shingles.
+
+    Texts at 0.8 differ in some ten of 64 fingerprint bits, beyond what a grid over 64 bits can separate. So besides the
+    fingerprint's own links (the grid range-join), texts meet by the fingerprints of ``views`` small samples of their
+    shingles. All members of such a meeting are held against its smallest id, never against each other, and a link is
+    kept only after its exact similarity was computed from the two texts. Equal texts are one from the start.
+    """
+    prints = settle(view_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, views, sample))
+    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    rooted = settle(prints.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "least"))
+    own = prints.join(firsts.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = settle(own.select("doc_id", "fp", "prints"))
+    met = own.select("doc_id", F.posexplode("prints").alias("view", "print"))
+    least = met.groupBy("view", "print").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("view", "print", "a")
+    pairs = met.join(least, ["view", "print"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    by_print = own.groupBy("fp").agg(F.min("doc_id").alias("a"))
+    same = own.join(by_print, "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    near = links(by_print.select("fp"), max_bits)
+    at = lambda c, d: by_print.select(F.col("fp").alias(c), F.col("a").alias(d))
+    near = near.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = settle(pairs.unionByName(same).unionByName(near).distinct())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_bytes(batch.column(2)), raw_bytes(batch.column(3))
+            close = [jaccard(x, y, width) >= similarity for x, y in zip(*texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    beside = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
+    edges = beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
+    labels = components(edges)
+    return rooted.join(labels.withColumnRenamed("node", "least"), "least", "left").select("doc_id", F.coalesce("label", "least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` less all but the smallest id of each group of similar texts; a row without an id stays."""
+    found = settle(similar_groups(docs, id_col, text_col, **how))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
     rows = docs.where(F.col(id_col).isNotNull()).join(kept.distinct(), F.col(id_col) == F.col("__kept_id"), "left_semi")
     if not kept.groupBy("__kept_id").count().where("count > 1").isEmpty():
