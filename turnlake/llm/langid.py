@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word gets a language. Features of a word are its affixes (one to three letters), its letter bigrams and trigrams,
+Every word gets a language. Features of a word are its affixes (one to three bytes), its byte bigrams and trigrams,
 the word itself, and for each language whether its lexicon has the word; they are hashed into a table of weights.
 Transition weights between the languages of neighbouring words are learned with them, on code-switched sequences
 spliced from documents of different languages, by stochastic gradient (AdaGrad) on the exact log-likelihood from
@@ -38,23 +38,41 @@ def letters(word: str) -> str:
     return NOT_LETTER.sub("", word).lower()
 
 
-def features(word: str, slots: int, lexicon: np.ndarray) -> list[int]:
-    """Places in the weight table of a word's features; none for a word without letters."""
-    if not word:
-        return []
-    crc = zlib.crc32
-    n = min(3, len(word))
-    raw = [f"p{word[:i]}" for i in range(1, n + 1)] + [f"s{word[-i:]}" for i in range(1, n + 1)]
-    marked = f"^{word}$"
-    raw += [marked[i : i + 2] for i in range(len(marked) - 1)] + [marked[i : i + 3] for i in range(len(marked) - 2)]
-    raw.append(f"w{word}")
-    out = [crc(x.encode("utf-8", "surrogatepass")) % slots for x in raw]
-    mask = int(lexicon[crc(word.encode("utf-8", "surrogatepass")) % LEX_SLOTS])
-    while mask:
-        low = mask & -mask
-        out.append(slots + low.bit_length() - 1)
-        mask ^= low
-    return out
+def features(words: list[str], slots: int, lexicon: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the weight table, features of each word): none for a word without letters.
+
+    Affixes of one to three bytes are the runs of two to four bytes that begin or end with a word's marks; inside it
+    runs of two and three count. The word itself is one more, and each language whose lexicon has it another.
+    """
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    text = np.frombuffer(b"".join(b"\x02%b\x03" % r for r in raw), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 2
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(raw)), size)
+    left = np.repeat(start + size, size) - np.arange(len(text))  # bytes from here to the end of the word
+    first, real = left == size[owner], size[owner] > 2
+    places, owners = [], []
+    with np.errstate(over="ignore"):
+        code = text.copy()
+        for n in (2, 3, 4):
+            code = code[:-1] * np.uint64(257) + text[n - 1 :]
+            keep = (left[: len(code)] >= n) & real[: len(code)]
+            if n == 4:  # affixes only
+                keep &= first[: len(code)] | (left[: len(code)] == n)
+            places.append((((code[keep] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(slots))
+            owners.append(owner[: len(code)][keep])
+    crc = np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw))
+    some = np.flatnonzero(size > 2)
+    places.append(crc[some] % np.uint64(slots))
+    owners.append(some)
+    masks = lexicon[(crc % np.uint64(LEX_SLOTS)).astype(np.int64)]
+    for k in range(langs):
+        has = some[((masks[some] >> np.uint64(k)) & np.uint64(1)).astype(bool)]
+        places.append(np.full(len(has), slots + k, np.uint64))
+        owners.append(has)
+    at = np.concatenate(owners)
+    order = np.argsort(at, kind="stable")
+    return np.concatenate(places)[order].astype(np.int64), np.bincount(at, minlength=len(raw)).astype(np.int64)
 
 
 class Field:
@@ -66,12 +84,10 @@ class Field:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Mean weight of each word's features, by language; zero for none."""
         slots = len(self.weights) - len(self.langs)
-        each = [features(w, slots, self.lexicon) for w in words]
-        sizes = np.array([len(x) for x in each], np.int64)
+        flat, sizes = features(words, slots, self.lexicon, len(self.langs))
         out = np.zeros((len(words), len(self.langs)), np.float32)
         full = np.flatnonzero(sizes)
         if len(full):
-            flat = np.fromiter((f for x in each for f in x), np.int64)
             heads = (np.cumsum(sizes) - sizes)[full]
             out[full] = np.add.reduceat(self.weights[flat], heads, axis=0) / np.sqrt(sizes[full])[:, None]
         return out
@@ -128,9 +144,8 @@ def train(samples: dict[str, list[list[str]]], slots: int = 1 << 16, length: int
     known: dict[str, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64)[: count * length].reshape(count, length)
     labels = labels[: count * length].reshape(count, length)
-    each = [features(w, slots, lexicon) for w in known]
-    sizes = np.array([len(x) for x in each], np.int64)
-    flat, heads = np.fromiter((f for x in each for f in x), np.int64), np.cumsum(sizes) - sizes
+    flat, sizes = features(list(known), slots, lexicon, n)
+    heads = np.cumsum(sizes) - sizes
     g_w, g_m = np.full(field.weights.shape, 1e-8), np.full((n, n), 1e-8)
     for _ in range(epochs):
         shuffled = rng.permutation(count)
@@ -161,7 +176,7 @@ def train(samples: dict[str, list[list[str]]], slots: int = 1 << 16, length: int
 class Tagger:
     """Posteriors of whole texts, with the emissions of words met so far kept within a bound."""
 
-    def __init__(self, field: Field, span: int = 256, keep: int = 200_000, cells: int = 400_000):
+    def __init__(self, field: Field, span: int = 256, keep: int = 500_000, cells: int = 400_000):
         self.field, self.span, self.keep, self.cells = field, span, keep, cells
         self._clear()
 
