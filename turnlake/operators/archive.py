@@ -188,7 +188,8 @@ class Archive:
         fresh = distinct_rows(new_records(first_records(turns), archived).select(*S.TURN_COLUMNS))
         batch = uuid.uuid4().hex
         path = f"{self.folder}/turns/batch={batch}"
-        fresh.repartition("tier").sortWithinPartitions("tier", *[c for c in total_order() if c != "tier"]).write.partitionBy("tier").parquet(path)
+        # Rebalanced by tier: large tiers are split over tasks, small ones merged into one file.
+        fresh.hint("rebalance", "tier").sortWithinPartitions("tier", *[c for c in total_order() if c != "tier"]).write.partitionBy("tier").parquet(path)
         marks = transcripts.marks(found.join(todo.select("path"), "path", "left_semi"), read)
         oldest = turns.groupBy("path").agg(F.min(parse_ts(F.col("ts"))).alias("oldest"))
         before = state.select("path", F.col("mark").alias("mark0"), F.col("oldest").alias("oldest0"))

@@ -72,7 +72,7 @@ def hit_order() -> list[Column]:
 def best_per_session(matched: DataFrame, n: int) -> DataFrame:
     """The n worthiest matched turns of each session, with ``pos``, their place in time among its matched turns.
 
-    The ranks are taken from bounded lists: each session keeps its n best structs, so none is gathered whole.
+    Both windows share one shuffle by session; the second is a rank with a limit, which Spark cuts before it sorts.
     """
     in_time = Window.partitionBy("session").orderBy(*hit_order())
     worth = Window.partitionBy("session").orderBy(F.desc("signal"), F.desc("occurrences"), F.asc("pos"))
