@@ -109,3 +109,26 @@ def test_similar_texts_form_groups(make):
     near = [i for i, (g, k) in group.items() if k and simhash.jaccard(texts[i].encode(), texts[first[g]].encode(), 5) >= 0.8]
     assert len(near) > 30 and sum(got[i] == first[group[i][0]] for i in near) >= 0.98 * len(near)
     assert all(group[i][0] == group[c][0] for i, c in got.items())
+
+
+@pytest.mark.parametrize("where", [0.5, 1.0])
+def test_edited_copies_of_a_source_of_any_id_form_one_group(make, where):
+    """Copies at 0.82 of a source that isn't the smallest id, and lower to each other."""
+    rng = random.Random(8)
+    rows, group = [], {}
+    for n in (10, 120):
+        source = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts = []
+        for _ in range(n):
+            w = list(source)
+            for k in rng.sample(range(6), 6):  # places wide apart: each edit spoils five shingles of either text
+                w[rng.randrange(50 * k + 5, 50 * k + 45)] = f"x{rng.randrange(10**9)}"
+            texts.append(w)
+        texts.insert(int(where * n), source)
+        for w in texts:
+            group[len(rows)] = n
+            rows.append((len(rows), " ".join(w)))
+    first = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    assert simhash.jaccard(rows[0][1].encode(), rows[1][1].encode(), 5) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(rows)).collect()}
+    assert got == {i: first[g] for i, g in group.items()}

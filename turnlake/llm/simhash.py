@@ -31,7 +31,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, raw_bytes, settle
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def view_prints(docs: DataFrame, id_col: str, text_col: str, width: int, views: int, sample: int) -> DataFrame:
-    """(doc_id, digest, fp, prints): a 128-bit digest, the fingerprint, and one of each view of a text.
+    """(doc_id, digest, fp, size, prints): a 128-bit digest, the fingerprint, the number of distinct shingles, and the
+    fingerprint of each view of a text.
 
     A view is a seeded order of shingles; its fingerprint is that of the ``sample`` first shingles in it. Texts of
     similarity s share it with probability about s to the power of ``sample``, other texts hardly ever.
@@ -181,17 +182,18 @@ def view_prints(docs: DataFrame, id_col: str, text_col: str, width: int, views:
             for i in range(0, len(texts), 500):
                 part = texts[i : i + 500]
                 hashes = [shingle_hashes(t, width) for t in part]
-                firsts = []
+                firsts, sizes = [], []
                 for h in map(np.unique, hashes):
+                    sizes.append(len(h))
                     for v in range(views):
                         order = mix64(h, v)
                         firsts.append(h[np.argpartition(order, sample)[:sample]] if len(h) > sample else h)
                 prints = majority(firsts).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * views), pa.array(prints))
                 digests = pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), digests, pa.array(majority(hashes).view(np.int64)), lists], names=["doc_id", "digest", "fp", "prints"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), digests, pa.array(majority(hashes).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "digest", "fp", "size", "prints"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, digest string, fp long, prints array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, digest string, fp long, size long, prints array<long>")
 
 
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
@@ -203,28 +205,55 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     return common / max(1, len(x) + len(y) - common)
 
 
+def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, lone): how many shingles of a text (i, t) no other of the texts has; none, no row."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_bytes(batch.column(1))
+            for i in range(0, len(texts), 200):
+                hashes = [np.unique(shingle_hashes(t, width)) for t in texts[i : i + 200]]
+                ids = np.repeat(batch.column(0).slice(i, len(hashes)).to_numpy(), [len(h) for h in hashes])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64))], names=["doc_id", "shingle"])
+
+    shingles = texts.select("i", "t").mapInArrow(spread, "doc_id long, shingle long")
+    return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+
+
+def open_meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (view, print, doc_id, ...) of meetings that hold more than one component, with their labels."""
+    named = members.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = named.groupBy("view", "print").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("view", "print")
+    return settle(named.join(mixed, ["view", "print"]))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 12, sample: int = 3) -> DataFrame:
     """(doc_id, component_id) of rows with an id: groups of texts linked at ``similarity`` or more of their shingles.
 
     Texts at 0.8 differ in some ten of 64 fingerprint bits, beyond what a grid over 64 bits can separate. So besides the
-    fingerprint's own links (the grid range-join), texts meet by the fingerprints of ``views`` small samples of their
-    shingles. All members of such a meeting are held against its smallest id, never against each other, and a link is
-    kept only after its exact similarity was computed from the two texts. Equal texts are one from the start.
+    fingerprint's own links (the grid range-join), texts meet by their fingerprint and by those of ``views`` small samples
+    of their shingles. A link is kept only after its exact similarity was computed from the two texts. Equal texts are one
+    from the start.
+
+    All members of a meeting are held against its smallest id first. Where the others are still of more than one
+    component, they are held against further heads, eight times as many each round, until every two members of a meeting
+    are of one component or were compared. Heads come in the order of the share of their shingles that others have too: a
+    source of edited copies is before its copies. Texts x and y have at most c = min(s_x, s_y) shingles in common, s being
+    those of a text that any other has; pairs that ``c / (|x| + |y| - c)`` puts below ``similarity`` aren't compared.
     """
     prints = settle(view_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, views, sample))
     firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("least"))
     rooted = settle(prints.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "least"))
     own = prints.join(firsts.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = settle(own.select("doc_id", "fp", "prints"))
-    met = own.select("doc_id", F.posexplode("prints").alias("view", "print"))
-    least = met.groupBy("view", "print").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("view", "print", "a")
-    pairs = met.join(least, ["view", "print"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    own = settle(own.select("doc_id", "fp", "size", "prints"))
+    met = own.select("doc_id", "size", F.posexplode(F.concat("prints", F.array("fp"))).alias("view", "print"))
+    least = met.groupBy("view", "print").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = met.join(least.select("view", "print", "a"), ["view", "print"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     by_print = own.groupBy("fp").agg(F.min("doc_id").alias("a"))
-    same = own.join(by_print, "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     near = links(by_print.select("fp"), max_bits)
     at = lambda c, d: by_print.select(F.col("fp").alias(c), F.col("a").alias(d))
     near = near.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = settle(pairs.unionByName(same).unionByName(near).distinct())
+    tested = settle(pairs.unionByName(near).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +261,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             close = [jaccard(x, y, width) >= similarity for x, y in zip(*texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close, pa.bool_()))
 
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        beside = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
+        return settle(beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct())
+
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    beside = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
-    edges = beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
+    edges = verified(tested, texts)
     labels = components(edges)
+    members = open_meetings(met.join(least.where("n > 2").select("view", "print", "a"), ["view", "print"]).where("doc_id <> a").drop("a"), labels)
+    if not members.isEmpty():
+        texts = settle(texts.join(members.select(F.col("doc_id").alias("i")).distinct(), "i", "left_semi"))
+        lone = lone_shingles(texts, width)
+        members = members.join(lone, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
+        # A text without enough shared shingles is like none of the others.
+        members = members.where(F.col("shared") >= similarity * F.col("size") - 1e-9).withColumn("share", F.col("shared") / F.greatest("size", F.lit(1)))
+        members = open_meetings(members, labels)
+    heads_each = 8
+    while not members.isEmpty():
+        order = Window.partitionBy("view", "print").orderBy(F.desc("share"), "doc_id")
+        heads = settle(members.withColumn("at", F.row_number().over(order)).where(F.col("at") <= heads_each).drop("at"))
+        h, m = heads.alias("h"), members.alias("m")
+        after = (F.col("m.share") < F.col("h.share")) | ((F.col("m.share") == F.col("h.share")) & (F.col("m.doc_id") > F.col("h.doc_id")))
+        most = F.least("h.shared", "m.shared")
+        likely = most >= similarity * (F.col("h.size") + F.col("m.size") - most) - 1e-9
+        meet = (F.col("h.view") == F.col("m.view")) & (F.col("h.print") == F.col("m.print")) & (F.col("h.label") != F.col("m.label"))
+        pairs = h.join(m, meet & after & likely).select(F.least("h.doc_id", "m.doc_id").alias("a"), F.greatest("h.doc_id", "m.doc_id").alias("b")).distinct()
+        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = verified(pairs, texts)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = components(edges)
+        tested = tested.unionByName(pairs)
+        members = open_meetings(members.join(heads, ["view", "print", "doc_id"], "left_anti"), labels)
+        heads_each *= 8
     return rooted.join(labels.withColumnRenamed("node", "least"), "least", "left").select("doc_id", F.coalesce("label", "least").alias("component_id"))
 
 
