@@ -113,6 +113,35 @@ def test_recall_on_edited_passages(spark, data):
     assert not any(h and not n for h, n in zip(hits, near, strict=True))
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "substitutions", "mixed"])
+def test_every_passage_within_the_edits_is_found(kind):
+    """Up to the whole budget of 20%, by length and kind of edits."""
+    rng = random.Random(2)
+    items = [(k, [f"w{rng.randrange(10**6)}" for _ in range(n)]) for k, n in enumerate([5, 9, 14, 15, 29, 60, 100, 200, 400] * 6)]
+    index = decontam.Index([(i, " ".join(w).encode()) for i, w in items])
+    texts = []
+    for i, w in items:
+        w, gone = list(w), sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True)
+        for k in gone:
+            edit = kind if kind != "mixed" else rng.choice(["deletions", "insertions", "substitutions"])
+            w[k : k + (edit != "insertions")] = [] if edit == "deletions" else [f"z{rng.randrange(10**6)}"]
+        noise = lambda: [f"n{rng.randrange(999)}" for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join([*noise(), *w, *noise()]).encode())
+    found = decontam.found_in(index, decontam.BoundedCodes(xxhash.xxh64_intdigest), texts)
+    assert [list(f) for f in found] == [[i] for i, _ in items]
+    assert all(f[i] >= 0.8 - 1e-9 for f, (i, _) in zip(found, items, strict=True))
+
+
+def test_seeds_lose_nothing_of_brute_force(spark, data):
+    """Items and documents of few different words, so that segments meet by chance too."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(i, words(rng.randint(1, 30))) for i in range(60)]
+    docs = [(i, words(rng.randint(0, 60))) for i in range(150)]
+    found = decontam.found_in(decontam.Index([(i, t.encode()) for i, t in items]), decontam.BoundedCodes(xxhash.xxh64_intdigest), [t.encode() for _, t in docs])
+    assert {d: sorted(f) for (d, _), f in zip(docs, found, strict=True)} == decontam.brute_force(docs, items)
+
+
 def test_decontam_odd_rows_and_blocks(spark, make, odd):
     bench = spark.createDataFrame([(1, "one"), (2, None), (None, "one two"), (3, "  "), (4, "a b c d e f g a b c d e f g"), (4, "a b c d e f g a b c d e f g")], "item_id long, text string")
     docs = make([*odd, (40, "x y ONE, z")])

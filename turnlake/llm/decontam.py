@@ -3,15 +3,15 @@
 Texts and items are compared as sequences of words (A-Z folded, ASCII punctuation dropped). A document is contaminated
 by an item of n words if some window of it is within ``floor((1 - similarity) * n)`` word edits of the item.
 
-Items belong to length classes; an item is searched by its first c words, c being its class. For windows of that size:
+An item of n words and at most e edits is cut into e + 1 segments of equal length, give or take a word. An edit spoils at
+most one of them, so a document that holds the item has some segment unchanged, and that at most e words from where it
+lies in the item. So nothing is missed:
 
-1. *Filter, exact.* e edits spoil at most 2e of the c - 1 word pairs, so a window without c - 1 - 2e pairs of the
-   benchmark's can't match. One bitmap look-up a word leaves few windows.
-2. *CGK embedding and bit-sampling LSH.* A random walk reads the window: at step t it emits the word it stands on and a
-   hash of (round, t, word) says whether it moves on. Walks over texts a few edits apart soon fall into step again, so
-   edit distance becomes Hamming distance. Each of ``rounds`` walks samples ``bits`` places; windows and items that agree
-   on all places of a round are candidates. The chance to miss a window falls exponentially with ``rounds``.
-3. *Exact verification* by bit-parallel edit distance over the whole item, the window's end being free.
+1. *Seeds.* The hashes of all runs of a document's words, as long as the segments (at most ``SEED`` words of each), are
+   looked up among those of the items' segments. A hit says in which stretch of n + 2e words the item may lie.
+2. *Filter.* e edits spoil at most 2e of an item's n - 1 word pairs, so a stretch without n - 1 - 2e pairs of the
+   benchmark's is left out, and so is one without n - e words of the item.
+3. *Verification* by bit-parallel edit distance between the item and any part of the stretch.
 
 The benchmark goes to executors whole up to ``block_bytes`` of text; a larger one is searched in blocks of that size.
 
@@ -31,25 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, BoundedCodes, mix64, raw_bytes, text_bytes
+from .common import MIX_A, BoundedCodes, mix64, raw_bytes, rolling, text_bytes
 
 PUNCTUATION = string.punctuation.encode()
 FILTER_BITS = 20
-PAD = np.uint64(0)
+SEED = 8
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(None, PUNCTUATION).split()
 
 
-def class_of(n: int) -> int:
-    """The length class of n words: 1 to 5, then steps of about 1.4."""
-    c = min(n, 5)
-    while (up := int(c * 1.42) + 1) <= n and c >= 5:
-        c = up
-    return c
-
-
 def pairs_of(codes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(codes[:-1] * MIX_A + codes[1:])
@@ -79,12 +71,32 @@ def edits_within(item: list[int], text: list[int], most: int) -> int | None:
     return best if best <= most else None
 
 
+def edits_inside(item: list[int], text: list[int], most: int) -> int | None:
+    """Least edits between an item and any part of a text; None beyond ``most``."""
+    m = len(item)
+    masks: dict[int, int] = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | (1 << i)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, best = full, 0, m, m
+    for w in text:
+        eq = masks.get(w, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1) & full, (mh << 1) & full  # no 1 comes in: the part may begin anywhere
+        pv, mv = mh | (full & ~(xv | ph)), ph & xv
+        best = min(best, score)
+    return best if best <= most else None
+
+
 class Index:
-    """Items by class, round and sampled places."""
+    """Items by the hashes of their segments."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8, rounds: int = 16, bits: int = 2, seed: int = 23):
-        self.similarity, self.rounds, self.bits = similarity, rounds, bits
-        self.rng = np.random.Generator(np.random.PCG64(seed))
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8):
+        if not 0 < similarity <= 1:
+            raise ValueError("at a similarity of 0 any text holds any item")
         self.ids, self.codes = [], []
         for item, text in items:
             if item is not None and (words := words_of(text)):
@@ -94,45 +106,39 @@ class Index:
         self.lists = [c.tolist() for c in self.codes]
         self.verified: dict[tuple[int, bytes], int | None] = {}
         self.has = [frozenset(x).__contains__ for x in self.lists]
-        self.classes: dict[int, tuple[int, int, list[dict[int, list[int]]]]] = {}
-        self.plans: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        members: dict[int, list[int]] = {}
+        self.sizes, self.budget = np.array([len(c) for c in self.codes], np.int64), np.array(self.most, np.int64)
+        cuts: dict[int, list[tuple[int, int, int]]] = {}  # by length of the seed: (hash, item, place)
         for i, c in enumerate(self.codes):
-            members.setdefault(class_of(len(c)), []).append(i)
-        for c in sorted(members):
-            edits = max(self.most[i] for i in members[c])
-            steps = max(1, int(1.6 * c))
-            salts = self.rng.integers(0, 1 << 63, (rounds, steps), dtype=np.uint64) | np.uint64(1)
-            places = [sorted(self.rng.choice(steps, min(bits, steps), replace=False).tolist()) for _ in range(rounds)]
-            self.plans[c] = salts, places
-            joined = np.concatenate([np.r_[self.codes[i], PAD] for i in members[c]])
-            ends = np.cumsum([len(self.codes[i]) + 1 for i in members[c]]) - 1
-            starts = np.r_[0, ends[:-1] + 1]
-            tables = []
-            for r in range(rounds):
-                table: dict[int, list[int]] = {}
-                for i, h in zip(members[c], self.walk(joined, starts, ends, c, r).tolist(), strict=True):
-                    table.setdefault(h, []).append(i)
-                tables.append(table)
-            self.classes[c] = edits, max(0, c - 1 - 2 * edits), tables
-        pairs = np.unique(np.concatenate([pairs_of(c) for c in self.codes])) if self.codes else np.empty(0, np.uint64)
-        self.pairs = pairs
-        self.bitmap = np.zeros(1 << FILTER_BITS, bool)
-        self.bitmap[(pairs >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def walk(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, c: int, r: int) -> np.ndarray:
-        """Hash of the sampled places of round ``r`` of the walks from ``starts``; words from ``ends`` on are padding."""
-        salts, places = self.plans[c]
-        at = starts.copy()
-        out = np.zeros(len(starts), np.uint64)
-        with np.errstate(over="ignore"):
-            for t in range(places[r][-1] + 1):
-                word = np.where(at < ends, codes[np.minimum(at, len(codes) - 1)], PAD)
-                if t in places[r]:
-                    out = mix64(out ^ word, t)
-                at += ((mix64(word, 1) * salts[r, t]) >> np.uint64(63)).astype(np.int64)
+            bounds = [k * len(c) // (self.most[i] + 1) for k in range(self.most[i] + 2)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                size = min(b - a, SEED)
+                cuts.setdefault(size, []).append((int(rolling(c[a : a + size], size)[0]), i, a))
+        #: By length of the seed: sorted hashes, where the entries of each begin, items and places.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in sorted(cuts.items()):
+            found.sort()
+            keys, first = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
+            self.seeds[size] = keys, np.r_[first, len(found)], np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)
+        self.bitmaps = {size: self._bitmap(keys) for size, (keys, *_) in self.seeds.items()}
+        self.pairs = np.unique(np.concatenate([pairs_of(c) for c in self.codes])) if self.codes else np.empty(0, np.uint64)
+        self.bitmap = self._bitmap(self.pairs)
+
+    @staticmethod
+    def _bitmap(hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << FILTER_BITS, bool)
+        out[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return out
 
+    @staticmethod
+    def _among(hashes: np.ndarray, keys: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are among sorted keys, and the places of those keys."""
+        maybe = np.flatnonzero(bitmap[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
+        same = keys[at] == hashes[maybe]
+        return maybe[same], at[same]
+
     def matches(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
         """For each document's words the similarity of each item found in them."""
         found: list[dict[int, float]] = [{} for _ in texts]
@@ -140,46 +146,39 @@ class Index:
         if not sizes.sum() or not self.codes:
             return found
         codes = np.concatenate(texts)
-        n = len(codes)
         doc = np.repeat(np.arange(len(texts)), sizes)
-        end = np.cumsum(sizes)[doc]  # where the document of each word ends
-        pairs = pairs_of(codes)
-        hit = self.bitmap[(pairs >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (doc[:-1] == doc[1:])
-        maybe = np.flatnonzero(hit)
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.pairs, pairs[maybe]), len(self.pairs) - 1)
-            hit[maybe] = self.pairs[at] == pairs[maybe]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        hit = np.zeros(len(codes), np.int64)  # whether a pair of the benchmark's begins here
+        hit[self._among(pairs_of(codes), self.pairs, self.bitmap)[0]] = 1
+        hit[ends[sizes > 0] - 1] = 0
         total = np.r_[0, np.cumsum(hit)]
-        for c, (edits, needed, tables) in self.classes.items():
-            starts = np.arange(n)
-            starts = starts[end - starts >= max(1, c - edits)]
-            if needed:
-                stop = np.minimum(starts + c + edits, end[starts]) - 1
-                starts = starts[total[stop] - total[starts] >= needed]
-            if not len(starts):
+        spots = []
+        for size, (keys, first, items, places) in self.seeds.items():
+            at, key = self._among(rolling(codes, size), keys, self.bitmaps[size])
+            inside = doc[at] == doc[at + size - 1] if len(at) else np.zeros(0, bool)
+            at, key = at[inside], key[inside]
+            many = first[key + 1] - first[key]
+            entry = np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            at, i = np.repeat(at, many), items[entry]
+            lo = np.maximum(at - places[entry] - self.budget[i], begins[doc[at]])
+            hi = np.minimum(at - places[entry] + self.sizes[i] + self.budget[i], ends[doc[at]])
+            pairs = total[np.maximum(hi - 1, lo)] - total[lo]
+            spots.append(np.stack([doc[at], i, lo, hi], 1)[pairs >= self.sizes[i] - 1 - 2 * self.budget[i]])
+        for d, i, lo, hi in np.unique(np.concatenate(spots), axis=0).tolist() if spots else []:
+            item, most, of = self.lists[i], self.most[i], found[d]
+            if of.get(self.ids[i]) == 1.0:
                 continue
-            tried: set[tuple[int, int]] = set()
-            for r, table in enumerate(tables):
-                hashes = self.walk(codes, starts, end[starts], c, r)
-                for k in np.flatnonzero(np.isin(hashes, np.fromiter(table, np.uint64, len(table)))).tolist():
-                    s = int(starts[k])
-                    for i in table[int(hashes[k])]:
-                        if (s, i) in tried:
-                            continue
-                        tried.add((s, i))
-                        item, most, of = self.lists[i], self.most[i], found[int(doc[s])]
-                        if of.get(self.ids[i]) == 1.0:
-                            continue
-                        window = codes[s : min(s + len(item) + most, int(end[s]))]
-                        key = i, window.tobytes()  # repeated lines and copies bring the same windows again
-                        if key not in self.verified:
-                            if len(self.verified) > 100_000:
-                                self.verified.clear()
-                            words = window.tolist()
-                            likely = sum(map(self.has[i], words)) >= len(item) - most  # else too few of its words
-                            self.verified[key] = edits_within(item, words, most) if likely else None
-                        if (d := self.verified[key]) is not None:
-                            of[self.ids[i]] = max(of.get(self.ids[i], 0.0), 1 - d / len(item))
+            stretch = codes[lo:hi]
+            key = i, stretch.tobytes()  # repeated lines and copies bring the same stretches again
+            if key not in self.verified:
+                if len(self.verified) > 100_000:
+                    self.verified.clear()
+                words = stretch.tolist()
+                likely = sum(map(self.has[i], words)) >= len(item) - most  # else too few of its words
+                self.verified[key] = edits_inside(item, words, most) if likely else None
+            if (e := self.verified[key]) is not None:
+                of[self.ids[i]] = max(of.get(self.ids[i], 0.0), 1 - e / len(item))
         return found
 
 
@@ -190,7 +189,7 @@ def found_in(index: Index, codes: BoundedCodes, texts: list[bytes | None], group
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, rounds: int = 16, bits: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, item_ids (sorted), best_similarity (null if none)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     n_blocks = max(1, -(-text_bytes(items, "t") // block_bytes))
@@ -203,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = docs.sparkSession.sparkContext.broadcast(sorted(held))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, codes = Index(shared.value, similarity, rounds, bits), BoundedCodes(xxhash.xxh64_intdigest)
+            index, codes = Index(shared.value, similarity), BoundedCodes(xxhash.xxh64_intdigest)
             for batch in batches:
                 hits = found_in(index, codes, raw_bytes(batch.column(1)))
                 best = [max(h.values()) if h else None for h in hits]
@@ -223,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return ids.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), "best_similarity")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, rounds: int = 16, bits: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all their columns."""
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     n_blocks = max(1, -(-text_bytes(items, "t") // block_bytes))
@@ -232,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = docs.sparkSession.sparkContext.broadcast(sorted(held))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            index, codes = Index(shared.value, similarity, rounds, bits), BoundedCodes(xxhash.xxh64_intdigest)
+            index, codes = Index(shared.value, similarity), BoundedCodes(xxhash.xxh64_intdigest)
             for batch in batches:
                 yield batch.filter(pa.array([not h for h in found_in(index, codes, raw_bytes(batch.column(text_col)))], pa.bool_()))
 
