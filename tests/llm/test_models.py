@@ -160,3 +160,22 @@ def test_grid_and_heap_agree(vocabulary):
     for k in (0, 1):
         keys = np.array([pieces.word_key(w, k, 3) for w in words], np.uint64)
         assert pieces.segment_words(vocabulary, words, keys, 0.2) == [pieces.segment_word(vocabulary, w, k, 3, 0.2) for w in words]
+
+
+def test_each_occurrence_has_its_own_skips(vocabulary):
+    """Shares of a frequent word's segmentations against independent skips, by occurrences in one text and over ids."""
+    for word in ("important", "evaluation", "internationalisations"):
+        draws = 4000
+        independent = [tuple(pieces.segment_word(vocabulary, " " + word, k % 256, 1000 + k // 256, 0.1)) for k in range(draws)]
+        for ids, texts in ((list(range(draws)), [word] * draws), ([5], [" ".join([word] * draws)])):
+            flat, counts = pieces.Encoder(vocabulary).encode(ids, texts)
+            if len(ids) == 1:
+                again = pieces.Encoder(vocabulary).encode(ids, texts)[0]
+                assert flat.tolist() == again.tolist() and vocabulary.decode(flat.tolist()) == texts[0]
+                continue
+            cuts = np.cumsum(counts)[:-1]
+            got = [tuple(x.tolist()) for x in np.split(flat, cuts)]
+            assert len(set(got)) > 20
+            for way in set(independent):
+                share = independent.count(way) / draws
+                assert abs(got.count(way) / draws - share) < 0.01 + 4 * (share * (1 - share) / draws * 2) ** 0.5

@@ -2,10 +2,13 @@
 
 The pieces of a merge-type (BPE) SentencePiece model are joined by an agenda: of all neighbouring pairs whose join is a
 piece, the one of best score, leftmost first, is taken next. With dropout each candidate that comes up is skipped for
-good with probability ``dropout``, decided by a keyed hash of (seed, variant, word, where the candidate begins and ends,
-the piece it would make). The variant of a word is one of ``variants``, drawn by keyed hash from the document and the
-word's place in it, so that one text gets varied segmentations, again the same on every run, and equal (word, variant)
-pairs of a batch are segmented once. With ``dropout`` 0 the segmentation is the model's own.
+good with probability ``dropout``, drawn for each occurrence of a word by hashes keyed by (seed, document, the word's
+place in it), so that no number of segmentations bounds a frequent word, and one text gets the same ones on every run.
+
+For a word of up to ``SHORT`` characters the draw says how many candidates pass until the next one skipped; which
+segmentation follows depends on the word and the skips so far alone, so those are kept as a tree of (word, skips), and
+each of its nodes is segmented once. Longer words, whose skips hardly ever recur, are segmented for each occurrence. With
+``dropout`` 0 the segmentation is the model's own.
 
 Decoding is exact: a space is the piece mark, characters without a piece (and the mark itself, should a text have it)
 are spelled in byte pieces, and the leading space that encoding adds is taken off again.
@@ -22,7 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ MARK = "▁"
 SEGMENT = re.compile(r" *[^ ]+| +")
 NONE = np.iinfo(np.int32).max
 MASK = (1 << 64) - 1
+SHORT = 16
 
 
 class Vocabulary:
@@ -109,11 +113,15 @@ def skipped(key: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarr
 
 
 def segment_word(v: Vocabulary, word: str, variant: int, seed: int, dropout: float) -> list[int]:
+    return segment_keyed(v, word, word_key(word, variant, seed), dropout)
+
+
+def segment_keyed(v: Vocabulary, word: str, key_of: int, dropout: float) -> list[int]:
     """One word by an agenda on a heap, of any length."""
     n = len(word)
     symbols = [v.chars.get(c, -1) for c in word]
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    key = np.array([word_key(word, variant, seed)], np.uint64)
+    key = np.array([key_of], np.uint64)
     agenda: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
@@ -143,7 +151,20 @@ def segment_word(v: Vocabulary, word: str, variant: int, seed: int, dropout: flo
 
 
 def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: float) -> list[list[int]]:
-    """Words of similar, moderate length, all agendas side by side."""
+    decide = lambda rows, _, start, stop, piece: skipped(keys[rows], start, stop, piece, dropout) if dropout else np.zeros(len(rows), bool)
+    return side_by_side(v, words, decide)[0]
+
+
+def segment_skipping(v: Vocabulary, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[list[int]], np.ndarray]:
+    """Words segmented while the candidates of these numbers are skipped, and how many candidates came up."""
+    table = np.full((len(words), max(1, *map(len, skips))), -1)
+    for row, x in enumerate(skips):
+        table[row, : len(x)] = x
+    return side_by_side(v, words, lambda rows, nth, *_: (table[rows] == nth).any(1))
+
+
+def side_by_side(v: Vocabulary, words: list[str], decide: Callable[..., np.ndarray]) -> tuple[list[list[int]], np.ndarray]:
+    """Words of similar, moderate length, all agendas side by side; ``decide`` says which candidates are skipped."""
     sizes = np.array([len(w) for w in words], np.int64)
     n, width = len(words), int(sizes.max())
     inside = np.arange(width) < sizes[:, None]
@@ -154,6 +175,7 @@ def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: fl
     order = np.where(joins >= 0, v.rank[joins], NONE)
     rows = np.flatnonzero((order < NONE).any(1))
     columns = np.arange(width + 1)
+    drawn, nth = np.zeros(n, np.int64), 0  # each word that isn't done has one candidate come up a turn
     while len(rows):
         best = order[rows].argmin(1)
         open_ = order[rows, best] < NONE
@@ -162,7 +184,9 @@ def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: fl
             break
         piece = joins[rows, best]
         stop = np.where(best + 2 <= width, starts[rows, np.minimum(best + 2, width)], sizes[rows])
-        drop = skipped(keys[rows], starts[rows, best], stop, piece, dropout) if dropout else np.zeros(len(rows), bool)
+        drop = decide(rows, nth, starts[rows, best], stop, piece)
+        drawn[rows] += 1
+        nth += 1
         order[rows[drop], best[drop]] = NONE
         r, j = rows[~drop], best[~drop]
         if len(r):
@@ -184,88 +208,146 @@ def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: fl
             order[r], joins[r] = o, q
     lists, places = symbols.tolist(), starts.tolist()
     counts = (symbols != -2).sum(1).tolist()
-    return [s[:c] if min(s[:c]) >= 0 else _spell(v, w, s[:c], p[:c]) for w, s, p, c in zip(words, lists, places, counts, strict=True)]
+    return [s[:c] if min(s[:c]) >= 0 else _spell(v, w, s[:c], p[:c]) for w, s, p, c in zip(words, lists, places, counts, strict=True)], drawn
+
+
+def by_size(words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Places of words to be segmented together, and whether they are too long for that."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    low = 0
+    while low < len(order) and (size := int(sizes[order[low]])) <= 64:
+        high = min(low + 20_000, int(np.searchsorted(sizes[order], size + max(2, size // 4), side="right")))
+        high = min(high, int(np.searchsorted(sizes[order], 64, side="right")))
+        yield order[low:high], False
+        low = high
+    if low < len(order):
+        yield order[low:], True
 
 
 class Encoder:
-    """Encodes batches of texts; each (word, variant) of a batch is segmented once."""
+    """Encodes batches of texts; each node (word, skips) is segmented once while the table lasts."""
 
-    def __init__(self, vocabulary: Vocabulary, seed: int = 3, dropout: float = 0.1, variants: int = 4, keep: int = 400_000):
-        self.v, self.seed, self.dropout, self.variants, self.keep = vocabulary, seed, dropout, variants if dropout else 1, keep
+    def __init__(self, vocabulary: Vocabulary, seed: int = 3, dropout: float = 0.1, keep: int = 400_000):
+        self.v, self.seed, self.dropout, self.keep = vocabulary, seed, dropout, keep
         self._clear()
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.words: list[str] = []
-        self.at = np.zeros(0, np.int64)  # place in the table of each number and variant, -1: none yet
+        self.long = np.zeros(0, bool)
+        self.roots = np.zeros(0, np.int64)  # node of each word without skips, -1: none
+        # Of each node: word, numbers of the candidates skipped, candidates still to come up, nodes by how many of those pass.
+        self.of: list[int] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.left, self.kids = np.zeros(0, np.int64), np.zeros((0, SHORT), np.int32)
         self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _segmented(self, wanted: np.ndarray) -> None:
-        """Put the (number, variant) codes into the table."""
-        todo = wanted[self.at[wanted] < 0]
-        words = [self.words[i] for i in (todo // self.variants).tolist()]
-        keys = np.array([word_key(w, k, self.seed) for w, k in zip(words, (todo % self.variants).tolist(), strict=True)], np.uint64)
-        sizes = np.array([len(w) for w in words], np.int64)
-        found: list[list[int] | None] = [None] * len(words)
-        order = np.argsort(sizes, kind="stable")
-        low = 0
-        while low < len(order):
-            size = int(sizes[order[low]])
-            if size > 64:
-                break
-            top = size + max(2, size // 4)
-            high = min(low + 20_000, int(np.searchsorted(sizes[order], top, side="right")))
-            part = order[low:high]
-            for i, ids in zip(part.tolist(), segment_words(self.v, [words[i] for i in part], keys[part], self.dropout), strict=True):
-                found[i] = ids
-            low = high
-        for i in order[low:].tolist():
-            found[i] = segment_word(self.v, words[i], int(todo[i] % self.variants), self.seed, self.dropout)
-        self.at[todo] = len(self.starts) + np.arange(len(todo))
+    def _keep(self, found: list[list[int]]) -> None:
         lens = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((x for ids in found for x in ids), np.int32, int(lens.sum()))
-        base = len(self.flat)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.flat = np.concatenate([self.flat, flat])
 
+    def _grow(self, numbers: list[int], skips: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes for words and their skips."""
+        words = [self.words[i] for i in numbers]
+        found: list[list[int]] = [[]] * len(words)
+        left = np.zeros(len(words), np.int64)
+        for part, alone in by_size(words):
+            if alone:  # without dropout only
+                for i in part.tolist():
+                    found[i] = segment_keyed(self.v, words[i], 0, 0.0)
+                continue
+            lists, drawn = segment_skipping(self.v, [words[i] for i in part], [skips[i] for i in part])
+            left[part] = drawn
+            for i, ids in zip(part.tolist(), lists, strict=True):
+                found[i] = ids
+        nodes = len(self.of) + np.arange(len(words))
+        self.of += numbers
+        self.skips += skips
+        self.left = np.concatenate([self.left, left - np.array([x[-1] + 1 if x else 0 for x in skips], np.int64)])
+        if len(self.of) > len(self.kids):
+            self.kids = np.concatenate([self.kids, np.full((len(self.of) - len(self.kids) + len(self.kids) // 2, SHORT), -1, np.int32)])
+        self._keep(found)
+        return nodes
+
+    def _descend(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The node of each occurrence, from that of its word and its key."""
+        nodes, live, depth = nodes.copy(), np.arange(len(nodes)), 0
+        while len(live):
+            depth += 1
+            u = ((mix64(keys[live], depth) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+            passed = np.floor(np.log(u) / np.log1p(-self.dropout)).astype(np.int64) if self.dropout < 1 else np.zeros(len(live), np.int64)
+            go = passed < self.left[nodes[live]]
+            live, passed = live[go], passed[go]
+            at = nodes[live]
+            lacking = self.kids[at, passed] < 0
+            if lacking.any():
+                new = np.unique(at[lacking] * SHORT + passed[lacking])
+                parents, skip = new // SHORT, new % SHORT
+                base = [self.skips[i] for i in parents.tolist()]
+                made = self._grow([self.of[i] for i in parents.tolist()], [(*x, (x[-1] + 1 if x else 0) + k) for x, k in zip(base, skip.tolist(), strict=True)])
+                self.kids[parents, skip] = made
+            nodes[live] = self.kids[at, passed]
+        return nodes
+
     def encode(self, ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts one after another, how many each text has)."""
-        if len(self.words) > self.keep:
+        if len(self.words) > self.keep or len(self.of) > 3 * self.keep:
             self._clear()
         split = [SEGMENT.findall(" " + t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        known = self.numbers
+        known, first = self.numbers, len(self.words)
         for words in split:
             for w in words:
                 if w not in known:
                     known[w] = len(known)
                     self.words.append(w)
         numbers = np.fromiter((known[w] for words in split for w in words), np.int64, int(counts.sum()))
-        self.at = np.concatenate([self.at, np.full(len(known) * self.variants - len(self.at), -1, np.int64)])
-        if self.variants > 1:
-            doc = np.array([(i or 0) & MASK for i in ids], np.uint64)
-            place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
-            with np.errstate(over="ignore"):
-                variant = mix64(np.repeat(mix64(doc, self.seed), counts) + place.astype(np.uint64) * MIX_A) % np.uint64(self.variants)
-            numbers = numbers * self.variants + variant.astype(np.int64)
-        self._segmented(np.unique(numbers))
-        at = self.at[numbers]
+        if len(self.words) > first:
+            long = np.array([bool(self.dropout) and len(w) > SHORT for w in self.words[first:]], bool)
+            roots = np.full(len(long), -1, np.int64)
+            fresh = np.flatnonzero(~long)
+            roots[fresh] = self._grow((first + fresh).tolist(), [()] * len(fresh))
+            self.long, self.roots = np.concatenate([self.long, long]), np.concatenate([self.roots, roots])
+        doc = np.array([(i or 0) & MASK for i in ids], np.uint64)
+        place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+        with np.errstate(over="ignore"):
+            keys = mix64(np.repeat(mix64(doc, self.seed), counts) + place.astype(np.uint64) * MIX_A)
+        at = self.roots[numbers]
+        far = self.long[numbers]
+        if self.dropout:
+            at[~far] = self._descend(at[~far], keys[~far])
+        tables = self.starts, self.lens, self.flat
+        if far.any():  # put behind the table for this batch only
+            where = np.flatnonzero(far)
+            words = [self.words[i] for i in numbers[where].tolist()]
+            found: list[list[int]] = [[]] * len(words)
+            for part, alone in by_size(words):
+                some, of = [words[i] for i in part], keys[where[part]]
+                lists = [segment_keyed(self.v, w, k, self.dropout) for w, k in zip(some, of.tolist(), strict=True)] if alone else segment_words(self.v, some, of, self.dropout)
+                for i, x in zip(part.tolist(), lists, strict=True):
+                    found[i] = x
+            at[where] = len(self.lens) + np.arange(len(where))
+            self._keep(found)
         lens = self.lens[at]
         stop = np.cumsum(lens)
         flat = self.flat[np.repeat(self.starts[at] - (stop - lens), lens) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        self.starts, self.lens, self.flat = tables
         owner = np.repeat(np.arange(len(texts)), counts)
         return flat, np.bincount(owner, lens, minlength=len(texts)).astype(np.int64)
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 3, dropout: float = 0.1, variants: int = 4, group: int = 300) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 3, dropout: float = 0.1, group: int = 300) -> DataFrame:
     """Per row: doc_id, pieces (ids), n_pieces, decoded_crc32 (of the decoded text) and lossless (decoded is the text)."""
     v = Vocabulary.load(model)
     shared = docs.sparkSession.sparkContext.broadcast((v.pieces, v.scores, v.bytes_at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*shared.value)
-        encoder = Encoder(vocabulary, seed, dropout, variants)
+        encoder = Encoder(vocabulary, seed, dropout)
         for batch in batches:
             for i in range(0, batch.num_rows, group):
                 part = batch.slice(i, group)
