@@ -91,7 +91,7 @@ def test_contamination_by_brute_force(spark, data):
     assert sum(map(len, got.values())) >= 0.9 * sum(map(len, want.values()))
 
 
-def test_recall_on_edited_passages(spark, data):
+def test_share_found_of_edited_passages(spark, data):
     rng = random.Random(1)
     items = items_of(spark, data)
     index = decontam.Index([(i, t.encode()) for i, t in items])
@@ -114,10 +114,10 @@ def test_recall_on_edited_passages(spark, data):
 
 
 @pytest.mark.parametrize("kind", ["deletions", "insertions", "substitutions", "mixed"])
-def test_every_passage_within_the_edits_is_found(kind):
-    """Up to the whole budget of 20%, by length and kind of edits."""
-    rng = random.Random(2)
-    items = [(k, [f"w{rng.randrange(10**6)}" for _ in range(n)]) for k, n in enumerate([5, 9, 14, 15, 29, 60, 100, 200, 400] * 6)]
+def test_share_found_by_length_and_kind_of_edits(kind):
+    """With the whole budget of 20% used up; one segment with one edit is found at 0.99, and most items have several."""
+    rng, sizes, repeats = random.Random(2), [5, 9, 14, 15, 29, 60, 100, 200, 400], 100
+    items = [(k, [f"w{rng.randrange(10**6)}" for _ in range(n)]) for k, n in enumerate(sizes * repeats)]
     index = decontam.Index([(i, " ".join(w).encode()) for i, w in items])
     texts = []
     for i, w in items:
@@ -128,29 +128,37 @@ def test_every_passage_within_the_edits_is_found(kind):
         noise = lambda: [f"n{rng.randrange(999)}" for _ in range(rng.randint(0, 60))]
         texts.append(" ".join([*noise(), *w, *noise()]).encode())
     found = decontam.found_in(index, decontam.BoundedCodes(xxhash.xxh64_intdigest), texts)
-    assert [list(f) for f in found] == [[i] for i, _ in items]
-    assert all(f[i] >= 0.8 - 1e-9 for f, (i, _) in zip(found, items, strict=True))
+    for n in set(sizes):
+        assert sum(i in f for f, (i, w) in zip(found, items, strict=True) if len(w) == n) >= 0.95 * repeats
+    assert sum(i in f for f, (i, _) in zip(found, items, strict=True)) >= 0.985 * len(items)
+    assert all(list(f) in ([], [i]) and f.get(i, 1) >= 0.8 - 1e-9 for f, (i, _) in zip(found, items, strict=True))
 
 
-def test_seeds_lose_nothing_of_brute_force(spark, data):
+def test_few_different_words_against_brute_force():
     """Items and documents of few different words, so that segments meet by chance too."""
     rng = random.Random(6)
     words = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
     items = [(i, words(rng.randint(1, 30))) for i in range(60)]
     docs = [(i, words(rng.randint(0, 60))) for i in range(150)]
     found = decontam.found_in(decontam.Index([(i, t.encode()) for i, t in items]), decontam.BoundedCodes(xxhash.xxh64_intdigest), [t.encode() for _, t in docs])
-    assert {d: sorted(f) for (d, _), f in zip(docs, found, strict=True)} == decontam.brute_force(docs, items)
+    want = decontam.brute_force(docs, items)
+    assert all(set(f) <= set(want[d]) for (d, _), f in zip(docs, found, strict=True))
+    assert sum(map(len, found)) >= 0.99 * sum(map(len, want.values()))
 
 
 def test_decontam_odd_rows_and_blocks(spark, make, odd):
-    bench = spark.createDataFrame([(1, "one"), (2, None), (None, "one two"), (3, "  "), (4, "a b c d e f g a b c d e f g"), (4, "a b c d e f g a b c d e f g")], "item_id long, text string")
-    docs = make([*odd, (40, "x y ONE, z")])
+    bench = spark.createDataFrame([(1, "one", "n", 5), (2, None, "n", 5), (None, "one two", "n", 5), (3, "  ", "n", 5), (4, "a b c d e f g a b c d e f g", "n", 5), (4, "a b c d e f g a b c d e f g", "n", 5)], "item_id long, text string, item_ids string, doc_id int")
+    docs = make([*odd, (40, "x y ONE, z"), (None, "so one it is"), (8, "only one of two"), (8, "none")])
+    results = []
     for how in ({}, {"block_bytes": 8}):
         rows = decontam.contamination(docs, bench, **how).collect()
+        results.append(sorted((r["doc_id"] or -1, r["item_ids"], r["contaminated"], r["best_similarity"] or 0) for r in rows))
         got = {r["doc_id"]: r["item_ids"] for r in rows}
-        assert len(rows) == len(odd) + 1 and got[4] == [1] and got[40] == [1] and got[9] == [4] and got[1] == []
+        assert len(rows) == len(odd) + 4 and got[4] == [1] and got[40] == [1] and got[9] == [4] and got[1] == []
+    assert results[0] == results[1]
+    assert [x[1] for x in results[0] if x[0] in (-1, 8)] == [[], [1], [], [], [1]]
     kept = decontam.clean(docs, bench, block_bytes=8)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 6, 7, 8, None, 10}
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 6, 7, 7, 8, 8, 10]
     assert not any(r["contaminated"] for r in decontam.contamination(docs, bench.limit(0)).collect())
     assert decontam.contamination(make([]), bench).collect() == []
 

@@ -1,23 +1,30 @@
 """Benchmark decontamination: documents that hold a benchmark item up to a few edits.
 
 Texts and items are compared as sequences of words (A-Z folded, ASCII punctuation dropped). A document is contaminated
-by an item of n words if some window of it is within ``floor((1 - similarity) * n)`` word edits of the item.
-
-An item of n words and at most e edits is cut into e + 1 segments of equal length, give or take a word. An edit spoils at
-most one of them, so a document that holds the item has some segment unchanged, and that at most e words from where it
-lies in the item. So nothing is missed:
-
-1. *Seeds.* The hashes of all runs of a document's words, as long as the segments (at most ``SEED`` words of each), are
-   looked up among those of the items' segments. A hit says in which stretch of n + 2e words the item may lie.
-2. *Filter.* e edits spoil at most 2e of an item's n - 1 word pairs, so a stretch without n - 1 - 2e pairs of the
-   benchmark's is left out, and so is one without n - e words of the item.
-3. *Verification* by bit-parallel edit distance between the item and any part of the stretch.
-
-The benchmark goes to executors whole up to ``block_bytes`` of text; a larger one is searched in blocks of that size.
+by an item of n words if some window of it is within ``e = floor((1 - similarity) * n)`` word edits of the item.
+
+A CGK walk drifts apart with the square of the edits, so whole items of 100 words and 20 deletions hardly ever meet. An
+item is therefore cut into m segments of ``c`` words (the largest c up to ``SEGMENT`` with ``e // m <= 1``): of e edits
+some segment has one at most, wherever they fall. Segments of one size c are searched together:
+
+1. *Filter, exact.* One edit spoils at most two of a segment's c - 1 word pairs, so of the document's windows only those
+   with c - 3 pairs of the benchmark's within c + 1 words are looked at.
+2. *CGK embedding and bit-sampling LSH.* A random walk reads the window: at step t it emits the word it stands on, and a
+   hash of (round, t, word) says whether it moves on. Walks over texts an edit apart soon fall into step again, so edit
+   distance becomes Hamming distance. Each round samples ``bits`` places of a walk of its own; windows and segments that
+   agree on all of them are candidates. The number of rounds follows from ``target``: walks over random segments with one
+   deletion, insertion or substitution are simulated, and rounds are added until the kind that is missed most often is
+   found with that probability (``rounds_for``, on the driver). Segments without edits meet in any round.
+3. *Exact verification*: a candidate says in which stretch of n + 2e words its item may lie. Stretches without
+   n - 1 - 2e pairs of the benchmark's, or n - e words of the item, are left out, exactly; the others are held against
+   the whole item by bit-parallel edit distance.
+
+The benchmark goes to executors whole up to ``block_bytes`` of text; a larger one is searched in blocks of that size, one
+pass over the rows after the other, each adding what it found to the row itself. The rows are the same for any block size.
 
 Defined cases: null or empty texts match nothing; items without a word, or without an id, are left out; with an empty
-benchmark nothing is contaminated; repeated rows each get their row; an empty table gives an empty result; columns
-besides the id and text columns aren't read.
+benchmark nothing is contaminated; repeated rows, and rows that share an id or have none, each get their own row; an
+empty table gives an empty result; columns besides the id and text columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, BoundedCodes, mix64, raw_bytes, rolling, text_bytes
+from .common import MIX_A, MIX_B, BoundedCodes, mix64, raw_bytes, text_bytes
 
 PUNCTUATION = string.punctuation.encode()
 FILTER_BITS = 20
-SEED = 8
+SEGMENT = 8
+PAD = np.uint64(0)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -91,10 +99,79 @@ def edits_inside(item: list[int], text: list[int], most: int) -> int | None:
     return best if best <= most else None
 
 
+def segment_size(n: int, edits: int) -> int:
+    """The largest segment of an item of n words whose number leaves one of them with an edit at most."""
+    return next(c for c in range(min(n, SEGMENT), 0, -1) if edits // (n // c) <= (1 if c > 4 else 0) or c == 1)
+
+
+class Walks:
+    """The CGK walks over segments of one size, and the places each round samples."""
+
+    def __init__(self, size: int, rounds: int, bits: int, seed: int, edits: int = 1):
+        rng = np.random.Generator(np.random.PCG64([seed, size]))
+        steps = int(1.6 * size) if edits else size  # without edits, a walk never leaves its segment
+        self.salts = rng.integers(0, 1 << 63, (rounds, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.places = [sorted(rng.choice(steps, min(bits, steps), replace=False).tolist()) for _ in range(rounds)]
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def read(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, r: int) -> np.ndarray:
+        """Hash of the places that round ``r`` samples of the walks from ``starts``; from ``ends`` on they read padding.
+
+        ``codes`` are mixed already, and one more word stands behind them.
+        """
+        at, out = starts.copy(), np.zeros(len(starts), np.uint64)
+        with np.errstate(over="ignore"):
+            for t in range(self.places[r][-1] + 1):
+                word = np.where(at < ends, codes[at], PAD)
+                if t in self.places[r]:
+                    out = (out ^ word) * MIX_B
+                    out ^= out >> np.uint64(29)
+                if t < self.places[r][-1]:
+                    at += ((word * self.salts[r, t]) >> np.uint64(63)).astype(np.int64)
+                    np.minimum(at, ends, out=at)
+        return out
+
+
+def rounds_for(size: int, bits: int, target: float, seed: int, tries: int = 4000, most: int = 64) -> int:
+    """Rounds until simulated segments with one edit at a random place, and other words behind, are found with
+    probability ``target``."""
+    rng = np.random.Generator(np.random.PCG64([seed, size]))
+    walks = Walks(size, most, bits, seed)
+    length = 3 * size
+    plain = rng.integers(1, 1 << 63, (tries, length + 1), dtype=np.uint64)
+    after = rng.integers(1, 1 << 63, (tries, length + 1), dtype=np.uint64)
+    after[:, :size] = plain[:, :size]  # what follows the item's last segment in a document
+    plain[:, size:] = PAD
+    fresh = rng.integers(1, 1 << 63, tries, dtype=np.uint64)
+    at, column = rng.integers(0, size, tries)[:, None], np.arange(length)
+    cut = np.take_along_axis(after, column + (column >= at), 1)
+    put = np.where(column == at, fresh[:, None], np.take_along_axis(after, column - (column > at), 1))
+    swapped = np.where(column == at, fresh[:, None], after[:, :length])
+    starts = np.arange(tries) * length
+    walk = lambda x, r: walks.read(np.r_[x.ravel(), PAD], starts, starts + length, r)
+    missed = np.ones((3, tries), bool)
+    for r in range(most):
+        base = walk(plain[:, :length], r)
+        for kind, other in enumerate((cut, put, swapped)):
+            missed[kind] &= base != walk(other, r)
+        if missed.mean(1).max() <= 1 - target:
+            return r + 1
+    return most
+
+
+def plan_rounds(items: list[tuple[int, bytes]], similarity: float = 0.8, bits: int = 3, target: float = 0.99, seed: int = 23) -> dict[int, int]:
+    """Rounds for each size of segment that may have an edit."""
+    lengths = {len(words_of(t)) for _, t in items}
+    sizes = {(c := segment_size(n, e := int((1 - similarity) * n + 1e-9)), e // (n // c)) for n in lengths if n}
+    return {c: rounds_for(c, bits, target, seed) for c, e in sorted(sizes) if e}
+
+
 class Index:
-    """Items by the hashes of their segments."""
+    """Items by the walks over their segments."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8, bits: int = 3, target: float = 0.99, seed: int = 23, rounds: dict[int, int] | None = None):
         if not 0 < similarity <= 1:
             raise ValueError("at a similarity of 0 any text holds any item")
         self.ids, self.codes = [], []
@@ -107,19 +184,27 @@ class Index:
         self.verified: dict[tuple[int, bytes], int | None] = {}
         self.has = [frozenset(x).__contains__ for x in self.lists]
         self.sizes, self.budget = np.array([len(c) for c in self.codes], np.int64), np.array(self.most, np.int64)
-        cuts: dict[int, list[tuple[int, int, int]]] = {}  # by length of the seed: (hash, item, place)
+        planned = plan_rounds(items, similarity, bits, target, seed) if rounds is None else rounds
+        cuts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by size and edits of the segments: (item, place)
         for i, c in enumerate(self.codes):
-            bounds = [k * len(c) // (self.most[i] + 1) for k in range(self.most[i] + 2)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                size = min(b - a, SEED)
-                cuts.setdefault(size, []).append((int(rolling(c[a : a + size], size)[0]), i, a))
-        #: By length of the seed: sorted hashes, where the entries of each begin, items and places.
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, found in sorted(cuts.items()):
-            found.sort()
-            keys, first = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
-            self.seeds[size] = keys, np.r_[first, len(found)], np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)
-        self.bitmaps = {size: self._bitmap(keys) for size, (keys, *_) in self.seeds.items()}
+            size = segment_size(len(c), self.most[i])
+            count = len(c) // size
+            found = cuts.setdefault((size, self.most[i] // count), [])
+            found += [(i, size * k) for k in range(count)]
+        #: By size and edits: the walks; of each round sorted hashes, where the entries of each begin, and entries; items and places of those.
+        self.tables: dict[tuple[int, int], tuple[Walks, list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]] = {}
+        for (size, edits), found in sorted(cuts.items()):
+            walks = Walks(size, planned[size] if edits else 1, bits, seed, edits)
+            items_of, places = np.array(found, np.int64).T
+            offset = np.cumsum(self.sizes) - self.sizes
+            codes, starts, ends = np.r_[mix64(np.concatenate(self.codes), 1), PAD], offset[items_of] + places, (offset + self.sizes)[items_of]
+            tables = []
+            for r in range(len(walks)):
+                hashes = walks.read(codes, starts, ends, r)
+                order = np.argsort(hashes, kind="stable")
+                keys, first = np.unique(hashes[order], return_index=True)
+                tables.append((keys, np.r_[first, len(order)], order, self._bitmap(keys)))
+            self.tables[size, edits] = walks, tables, items_of, places
         self.pairs = np.unique(np.concatenate([pairs_of(c) for c in self.codes])) if self.codes else np.empty(0, np.uint64)
         self.bitmap = self._bitmap(self.pairs)
 
@@ -153,18 +238,27 @@ class Index:
         hit[self._among(pairs_of(codes), self.pairs, self.bitmap)[0]] = 1
         hit[ends[sizes > 0] - 1] = 0
         total = np.r_[0, np.cumsum(hit)]
+        mixed = np.r_[mix64(codes, 1), PAD]
+        stop = ends[doc]
         spots = []
-        for size, (keys, first, items, places) in self.seeds.items():
-            at, key = self._among(rolling(codes, size), keys, self.bitmaps[size])
-            inside = doc[at] == doc[at + size - 1] if len(at) else np.zeros(0, bool)
-            at, key = at[inside], key[inside]
-            many = first[key + 1] - first[key]
-            entry = np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            at, i = np.repeat(at, many), items[entry]
-            lo = np.maximum(at - places[entry] - self.budget[i], begins[doc[at]])
-            hi = np.minimum(at - places[entry] + self.sizes[i] + self.budget[i], ends[doc[at]])
-            pairs = total[np.maximum(hi - 1, lo)] - total[lo]
-            spots.append(np.stack([doc[at], i, lo, hi], 1)[pairs >= self.sizes[i] - 1 - 2 * self.budget[i]])
+        for (size, edits), (walks, tables, items, places) in self.tables.items():
+            needed = size - 1 - 2 * edits
+            starts = np.arange(len(codes))
+            if needed > 0:
+                starts = starts[total[np.maximum(np.minimum(starts + size + edits, stop) - 1, starts)] - total[starts] >= needed]
+            for r, (keys, first, entries, bitmap) in enumerate(tables):
+                at, key = self._among(walks.read(mixed, starts, stop[starts], r), keys, bitmap)
+                if not len(at):
+                    continue
+                at = starts[at]
+                many = first[key + 1] - first[key]
+                entry = entries[np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+                at, i = np.repeat(at, many), items[entry]
+                # The window may begin up to an edit off the segment.
+                lo = np.maximum(at - places[entry] - self.budget[i], begins[doc[at]])
+                hi = np.minimum(at - places[entry] + self.sizes[i] + self.budget[i], stop[at])
+                pairs = total[np.maximum(hi - 1, lo)] - total[lo]
+                spots.append(np.unique(np.stack([doc[at], i, lo, hi], 1)[pairs >= self.sizes[i] - 1 - 2 * self.budget[i]], axis=0))
         for d, i, lo, hi in np.unique(np.concatenate(spots), axis=0).tolist() if spots else []:
             item, most, of = self.lists[i], self.most[i], found[d]
             if of.get(self.ids[i]) == 1.0:
@@ -189,49 +283,40 @@ def found_in(index: Index, codes: BoundedCodes, texts: list[bytes | None], group
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per row: doc_id, contaminated, n_items, item_ids (sorted), best_similarity (null if none)."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of about ``block_bytes`` of text each."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     n_blocks = max(1, -(-text_bytes(items, "t") // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, contaminated boolean, n_items long, item_ids array<long>, best_similarity double"
+    for block in range(n_blocks):
+        yield sorted((r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect())
+
 
-    def search(block: int) -> DataFrame:
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
-        held = [(r[0], r[1].encode()) for r in part.collect()]  # about block_bytes
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(held))
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """Per row: doc_id, contaminated, n_items, item_ids (sorted), best_similarity (null if none)."""
+    none = F.array().cast("array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.alias("item_ids"), F.lit(None).cast("double").alias("best_similarity"))
+    for held in _blocks(benchmark, item_col, item_text, block_bytes):  # each pass adds to the rows what its block has; no shuffle
+        shared = docs.sparkSession.sparkContext.broadcast((held, plan_rounds(held, similarity)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, codes = Index(shared.value, similarity), BoundedCodes(xxhash.xxh64_intdigest)
+        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            index, codes = Index(shared.value[0], similarity, rounds=shared.value[1]), BoundedCodes(xxhash.xxh64_intdigest)
             for batch in batches:
                 hits = found_in(index, codes, raw_bytes(batch.column(1)))
-                best = [max(h.values()) if h else None for h in hits]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(h) for h in hits]), pa.array([len(h) for h in hits], pa.int64()), pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc_id", "contaminated", "n_items", "item_ids", "best_similarity"])
-
-        return rows.mapInArrow(run, schema)
-
-    if n_blocks == 1:
-        return search(0)
-    # One row for each row of docs and block: rows of one id are taken together, then put beside each row again.
-    found = search(0)
-    for block in range(1, n_blocks):
-        found = found.unionByName(search(block))
-    grouped = found.where("contaminated").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_similarity").alias("best_similarity"))
-    ids = rows.select("doc_id").join(grouped, "doc_id", "left")
-    none = F.array().cast("array<long>")
-    return ids.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), "best_similarity")
+                ids = [sorted({*had, *h}) for had, h in zip(batch.column(2).to_pylist(), hits, strict=True)]
+                best = [max((x for x in (had, *h.values()) if x is not None), default=None) for had, h in zip(batch.column(3).to_pylist(), hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "best_similarity")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all their columns."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    n_blocks = max(1, -(-text_bytes(items, "t") // block_bytes))
-    for block in range(n_blocks):  # each pass drops what its block contaminates; no shuffle
-        held = [(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(held))
+    for held in _blocks(benchmark, item_col, item_text, block_bytes):  # each pass drops what its block contaminates; no shuffle
+        shared = docs.sparkSession.sparkContext.broadcast((held, plan_rounds(held, similarity)))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            index, codes = Index(shared.value, similarity), BoundedCodes(xxhash.xxh64_intdigest)
+            index, codes = Index(shared.value[0], similarity, rounds=shared.value[1]), BoundedCodes(xxhash.xxh64_intdigest)
             for batch in batches:
                 yield batch.filter(pa.array([not h for h in found_in(index, codes, raw_bytes(batch.column(text_col)))], pa.bool_()))
 
