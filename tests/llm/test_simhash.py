@@ -92,6 +92,36 @@ def test_keep_one(make, odd):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8, 9, 10]
 
 
+def test_keep_one_with_shared_and_missing_ids(make):
+    """Different texts of one id both stay; copies without an id go before those with one; equal rows leave one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (9, a), (7, b + " end")]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(make(rows)).collect())
+    near = min((simhash_node(t), t) for t in (b, b + " end"))[1]
+    assert kept == sorted([(7, a), (7, near), (-1, c)])
+    assert simhash.keep_one(make([])).collect() == []
+
+
+def simhash_node(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64))
+
+
+def test_majority_by_rows():
+    rng = np.random.default_rng(1)
+    for k in range(1, 10):
+        h = rng.integers(0, 1 << 63, (50, k), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (50, k), dtype=np.uint64)
+        assert simhash.majority_rows(h).tolist() == simhash.majority(list(h)).tolist()
+
+
+def test_hot_keys_join_like_others(spark):
+    from turnlake.llm.common import hot_keys, spread_join
+
+    rows = spark.createDataFrame([(i % 5000 if i % 3 else 1, i) for i in range(9000)] + [(None, 1)], "k long, i long").repartition(5)
+    ones = spark.range(6000).selectExpr("id AS k", "id * 2 AS v")
+    assert hot_keys(rows, "k") == [1]
+    assert sorted(spread_join(rows, ones, "k").collect()) == sorted(rows.join(ones, "k").collect())
+
+
 def test_similar_texts_form_groups(make):
     rng = random.Random(3)
     rows, group = [], {}

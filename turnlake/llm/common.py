@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +33,11 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and Spark runs in one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/checkpoints/turnlake"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
@@ -53,6 +54,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> list:
+    """The keys that more than one row in ``share`` has: fewer than ``share`` of them, whatever the table's size."""
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * share > rows.count()).where(F.col(key).isNotNull()).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """Inner join of rows with a frame that has one thin row for each key. Rows with hot keys stay where they are: what
+    belongs to those, fewer than 1000 rows, is broadcast; the others are shuffled."""
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(one_each, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(one_each.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(one_each.where(is_hot)), key))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
@@ -71,13 +87,6 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
-def word_codes(words: list[bytes], known: dict[bytes, int], digest) -> np.ndarray:
-    """64-bit codes of words; ``known`` keeps those of distinct words met so far."""
-    for w in set(words).difference(known):
-        known[w] = digest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 class BoundedCodes(dict):
     """A word-to-code table that starts afresh beyond ``limit`` entries, so long tasks stay in memory."""
 
@@ -110,8 +119,3 @@ def rolling(codes: np.ndarray, width: int) -> np.ndarray:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def batches_of(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]

@@ -31,10 +31,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, raw_bytes, settle
+from .common import hot_keys, mix64, raw_bytes, settle, spread_join
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -83,6 +83,25 @@ def majority(groups: list[np.ndarray]) -> np.ndarray:
     return result
 
 
+def majority_rows(hashes: np.ndarray) -> np.ndarray:
+    """The same for rows of as many hashes each: the bits of all of them counted side by side, in planes."""
+    n = hashes.shape[1]
+    planes: list[np.ndarray] = []
+    for carry in hashes.T:
+        for i, plane in enumerate(planes):
+            planes[i], carry = plane ^ carry, plane & carry
+        if len(planes) < n.bit_length():
+            planes.append(carry)
+    more, even = np.zeros(len(hashes), np.uint64), np.full(len(hashes), ~np.uint64(0))
+    for i in reversed(range(len(planes))):  # compare the counts with the least majority
+        if (n // 2 + 1) >> i & 1:
+            even &= planes[i]
+        else:
+            more |= even & planes[i]
+            even &= ~planes[i]
+    return more | even
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of every whole text."""
 
@@ -97,10 +116,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
+def cell_of(fp: str) -> Column:
+    """The grid cell of a fingerprint: the bit counts of its sixteen segments, a hexadecimal digit each."""
+    return F.expr(" + ".join(f"(shiftrightunsigned({fp}, {i}) & {0x1111111111111111})" for i in range(4)))
+
+
 def _cells(fps: DataFrame) -> DataFrame:
     """(fp, key, off): each fingerprint's own grid cell (off 0) and the cells one step away (off 1..32)."""
-    ones = 0x1111111111111111
-    counts = F.expr(" + ".join(f"(shiftrightunsigned(fp, {i}) & {ones})" for i in range(4)))
+    counts = cell_of("fp")
     steps = F.array(F.lit(0), *[F.when(F.expr(f"shiftrightunsigned(cell, {4 * i}) & 15") < 4, F.lit(2 * i + 1)) for i in range(16)], *[F.when(F.expr(f"shiftrightunsigned(cell, {4 * i}) & 15") > 0, F.lit(2 * i + 2)) for i in range(16)])
     return (
         fps.withColumn("cell", counts)
@@ -147,15 +170,16 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of an edge list (a, b)."""
     pairs = settle(pairs)
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = settle(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))))
+    hubs = hot_keys(both, "other")  # nodes of very many edges, the same in each round
     labels = settle(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")))
     while True:
-        offered = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
+        offered = spread_join(both, labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other", hubs).groupBy("node").agg(F.min("seen").alias("seen"))
         taken = settle(labels.join(offered, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was")))
         if taken.where("label <> was").isEmpty():
             return taken.select("node", "label")
-        hop = taken.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        labels = settle(taken.join(hop, taken.label == hop["at"]).select("node", F.col("next").alias("label")))
+        hop = taken.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = settle(spread_join(taken.select("node", "label"), hop, "label").select("node", F.col("next").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, crowd: int = 64) -> DataFrame:
@@ -165,35 +189,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links(first.select("fp"), max_bits, crowd))
     rooted = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, settle(named), "fp").select("doc_id", "fp", "component_id")
+
+
+def text_node(text: str) -> Column:
+    """The 64-bit hash that stands for a text among those compared; null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def view_prints(docs: DataFrame, id_col: str, text_col: str, width: int, views: int, sample: int) -> DataFrame:
-    """(doc_id, digest, fp, size, prints): a 128-bit digest, the fingerprint, the number of distinct shingles, and the
-    fingerprint of each view of a text.
+    """(doc_id, node, size, prints): the text's hash, its number of distinct shingles, and fingerprints: of each view of
+    the text, then of the whole.
 
-    A view is a seeded order of shingles; its fingerprint is that of the ``sample`` first shingles in it. Texts of
-    similarity s share it with probability about s to the power of ``sample``, other texts hardly ever.
+    A view is a seeded order of shingles; its fingerprint is that of the ``sample`` first shingles in it, or of all if
+    there are no more. Texts of similarity s share it with probability about s to the power of ``sample``, other texts
+    hardly ever.
     """
+    orders = mix64(np.arange(views, dtype=np.uint64), 77)[:, None] | np.uint64(1)  # of hashes times an odd number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw_bytes(batch.column(1))
+            texts = raw_bytes(batch.column(2))
             for i in range(0, len(texts), 500):
                 part = texts[i : i + 500]
                 hashes = [shingle_hashes(t, width) for t in part]
-                firsts, sizes = [], []
-                for h in map(np.unique, hashes):
-                    sizes.append(len(h))
-                    for v in range(views):
-                        order = mix64(h, v)
-                        firsts.append(h[np.argpartition(order, sample)[:sample]] if len(h) > sample else h)
-                prints = majority(firsts).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * views), pa.array(prints))
-                digests = pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), digests, pa.array(majority(hashes).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "digest", "fp", "size", "prints"])
+                unique = [np.unique(h) for h in hashes]
+                sizes = np.array([len(h) for h in unique], np.int64)
+                whole = majority(hashes)
+                prints = np.repeat(whole[:, None], views + 1, axis=1)
+                full = np.flatnonzero(sizes > sample)
+                if len(full):
+                    firsts = np.concatenate([np.partition(unique[k] * orders, sample, axis=1)[:, :sample] for k in full])
+                    prints[full, :views] = majority_rows(mix64(firsts)).reshape(len(full), views)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (views + 1)), pa.array(prints.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), batch.column(1).slice(i, len(part)), pa.array(sizes), lists], names=["doc_id", "node", "size", "prints"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, digest string, fp long, size long, prints array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, node long, size long, prints array<long>")
 
 
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
@@ -206,54 +237,32 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
 
 
 def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, lone): how many shingles of a text (i, t) no other of the texts has; none, no row."""
+    """(node, lone): how many shingles of a text (node, t) no other of the texts has; none, no row."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_bytes(batch.column(1))
             for i in range(0, len(texts), 200):
                 hashes = [np.unique(shingle_hashes(t, width)) for t in texts[i : i + 200]]
-                ids = np.repeat(batch.column(0).slice(i, len(hashes)).to_numpy(), [len(h) for h in hashes])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64))], names=["doc_id", "shingle"])
+                nodes = np.repeat(batch.column(0).slice(i, len(hashes)).to_numpy(), [len(h) for h in hashes])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64))], names=["node", "shingle"])
 
-    shingles = texts.select("i", "t").mapInArrow(spread, "doc_id long, shingle long")
-    return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+    shingles = texts.select("node", "t").mapInArrow(spread, "node long, shingle long")
+    return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
 
 def open_meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (view, print, doc_id, ...) of meetings that hold more than one component, with their labels."""
-    named = members.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = named.groupBy("view", "print").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("view", "print")
-    return settle(named.join(mixed, ["view", "print"]))
+    """The members (meet, node, ...) of meetings that hold more than one component, with their labels."""
+    named = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("meet").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("meet")
+    return settle(spread_join(settle(named), mixed, "meet"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 12, sample: int = 3) -> DataFrame:
-    """(doc_id, component_id) of rows with an id: groups of texts linked at ``similarity`` or more of their shingles.
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, salts: int = 64) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, t) are similar, computed from the texts.
 
-    Texts at 0.8 differ in some ten of 64 fingerprint bits, beyond what a grid over 64 bits can separate. So besides the
-    fingerprint's own links (the grid range-join), texts meet by their fingerprint and by those of ``views`` small samples
-    of their shingles. A link is kept only after its exact similarity was computed from the two texts. Equal texts are one
-    from the start.
-
-    All members of a meeting are held against its smallest id first. Where the others are still of more than one
-    component, they are held against further heads, eight times as many each round, until every two members of a meeting
-    are of one component or were compared. Heads come in the order of the share of their shingles that others have too: a
-    source of edited copies is before its copies. Texts x and y have at most c = min(s_x, s_y) shingles in common, s being
-    those of a text that any other has; pairs that ``c / (|x| + |y| - c)`` puts below ``similarity`` aren't compared.
+    The text of a head that is in very many pairs is sent to each of ``salts`` shares of them.
     """
-    prints = settle(view_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, views, sample))
-    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    rooted = settle(prints.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "least"))
-    own = prints.join(firsts.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = settle(own.select("doc_id", "fp", "size", "prints"))
-    met = own.select("doc_id", "size", F.posexplode(F.concat("prints", F.array("fp"))).alias("view", "print"))
-    least = met.groupBy("view", "print").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = met.join(least.select("view", "print", "a"), ["view", "print"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    by_print = own.groupBy("fp").agg(F.min("doc_id").alias("a"))
-    near = links(by_print.select("fp"), max_bits)
-    at = lambda c, d: by_print.select(F.col("fp").alias(c), F.col("a").alias(d))
-    near = near.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    tested = settle(pairs.unionByName(near).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,47 +270,89 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             close = [jaccard(x, y, width) >= similarity for x, y in zip(*texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        beside = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
-        return settle(beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct())
-
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    edges = verified(tested, texts)
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
+    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    beside = salted.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(heads, ["a", "salt"])
+    return settle(beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct())
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, max_bits: int, views: int, sample: int) -> DataFrame:
+    """(doc_id, node, label) of every row; equal labels: one group."""
+    prints = settle(view_prints(docs, id_col, text_col, width, views, sample))
+    own = settle(prints.select("node", "size", "prints").dropDuplicates(["node"]))
+    met = own.select("node", "size", F.posexplode("prints").alias("view", "print")).select("node", "size", F.xxhash64("view", cell_of("print")).alias("meet"))
+    met = settle(met.join(met.groupBy("meet").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "meet"))
+    sizes = own.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
+    pairs = spread_join(met.where("node <> a").select("a", F.col("node").alias("b"), "size").distinct(), sizes, "a")
+    pairs = pairs.where(F.least("size", "size_a") >= similarity * F.greatest("size", "size_a") - 1e-9).select("a", "b")
+    by_print = own.select("node", F.element_at("prints", -1).alias("fp")).groupBy("fp").agg(F.min("node").alias("a"))
+    near = links(by_print.select("fp"), max_bits)
+    at = lambda c, d: by_print.select(F.col("fp").alias(c), F.col("a").alias(d))
+    near = near.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tested = settle(pairs.unionByName(near).distinct())
+    texts = docs.select(text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("t"))
+    edges = verified(tested, texts.dropDuplicates(["node"]), width, similarity)
     labels = components(edges)
-    members = open_meetings(met.join(least.where("n > 2").select("view", "print", "a"), ["view", "print"]).where("doc_id <> a").drop("a"), labels)
+    members = open_meetings(met.where("n > 2 AND node <> a").select("meet", "node", "size"), labels)
     if not members.isEmpty():
-        texts = settle(texts.join(members.select(F.col("doc_id").alias("i")).distinct(), "i", "left_semi"))
-        lone = lone_shingles(texts, width)
-        members = members.join(lone, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
+        texts = settle(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+        members = members.join(lone_shingles(texts, width), "node", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
         # A text without enough shared shingles is like none of the others.
         members = members.where(F.col("shared") >= similarity * F.col("size") - 1e-9).withColumn("share", F.col("shared") / F.greatest("size", F.lit(1)))
         members = open_meetings(members, labels)
     heads_each = 8
     while not members.isEmpty():
-        order = Window.partitionBy("view", "print").orderBy(F.desc("share"), "doc_id")
+        order = Window.partitionBy("meet").orderBy(F.desc("share"), "node")
         heads = settle(members.withColumn("at", F.row_number().over(order)).where(F.col("at") <= heads_each).drop("at"))
         h, m = heads.alias("h"), members.alias("m")
-        after = (F.col("m.share") < F.col("h.share")) | ((F.col("m.share") == F.col("h.share")) & (F.col("m.doc_id") > F.col("h.doc_id")))
+        after = (F.col("m.share") < F.col("h.share")) | ((F.col("m.share") == F.col("h.share")) & (F.col("m.node") > F.col("h.node")))
         most = F.least("h.shared", "m.shared")
         likely = most >= similarity * (F.col("h.size") + F.col("m.size") - most) - 1e-9
-        meet = (F.col("h.view") == F.col("m.view")) & (F.col("h.print") == F.col("m.print")) & (F.col("h.label") != F.col("m.label"))
-        pairs = h.join(m, meet & after & likely).select(F.least("h.doc_id", "m.doc_id").alias("a"), F.greatest("h.doc_id", "m.doc_id").alias("b")).distinct()
+        meet = (F.col("h.meet") == F.col("m.meet")) & (F.col("h.label") != F.col("m.label"))
+        pairs = h.join(m, meet & after & likely).select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs, texts)
+        found = verified(pairs, texts, width, similarity)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = components(edges)
         tested = tested.unionByName(pairs)
-        members = open_meetings(members.join(heads, ["view", "print", "doc_id"], "left_anti"), labels)
+        members = open_meetings(members.join(heads, ["meet", "node"], "left_anti"), labels)
         heads_each *= 8
-    return rooted.join(labels.withColumnRenamed("node", "least"), "least", "left").select("doc_id", F.coalesce("label", "least").alias("component_id"))
+    named = own.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return spread_join(prints.select("doc_id", "node"), named, "node")
+
 
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 16, sample: int = 4) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts linked at ``similarity`` or more of their shingles.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` less all but the smallest id of each group of similar texts; a row without an id stays."""
-    found = settle(similar_groups(docs, id_col, text_col, **how))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept.distinct(), F.col(id_col) == F.col("__kept_id"), "left_semi")
-    if not kept.groupBy("__kept_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    Texts at 0.8 differ in some ten of 64 fingerprint bits, beyond what a grid over 64 bits can separate. So besides the
+    fingerprint's own links (the grid range-join), ``views`` small samples of a text's shingles are fingerprinted too, and
+    all these fingerprints go through the same segment-popcount embedding: texts meet where they share a grid cell. A
+    link is kept only after its exact similarity was computed from the two texts. Equal texts are one from the start.
+
+    All members of a meeting are held against one of them first. Where the others are still of more than one component,
+    they are held against further heads, eight times as many each round, until every two members of a meeting are of one
+    component or were compared. Heads come in the order of the share of their shingles that others have too: a source of
+    edited copies is before its copies. Texts x and y have at most c = min(s_x, s_y) shingles in common, s being those of
+    a text that any other has; pairs that ``c / (|x| + |y| - c)`` puts below ``similarity`` aren't compared, nor, of the
+    first ones, those whose sizes alone do.
+
+    A null id counts after all others; component_id is null in a group of such rows only.
+    """
+    found = settle(_labelled(docs, id_col, text_col, width, similarity, max_bits, views, sample))
+    least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return spread_join(found, least, "label").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 16, sample: int = 4) -> DataFrame:
+    """One row of each group of similar texts, with all its columns: that of the smallest id, null ids last, and of rows
+    that share that id that of the smallest text hash; of rows equal in id and text one."""
+    found = settle(_labelled(docs, id_col, text_col, width, similarity, max_bits, views, sample))
+    best = found.groupBy("label").agg(F.min("doc_id").alias("least"))
+    ours = spread_join(found, best, "label").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    kept = settle(ours.groupBy("label", "least").agg(F.min("node").alias("__kept_node"), F.count("*").alias("n")))
+    rows = docs.withColumn("__kept_node", text_node(text_col)).join(kept.select("__kept_node", F.col("least").alias("__kept_id")), "__kept_node")
+    rows = rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
+    if not kept.where("n > 1").isEmpty():  # rows equal in id and text
+        rows = rows.dropDuplicates([id_col, "__kept_node"])
+    return rows.select(*docs.columns)
