@@ -159,7 +159,41 @@ def test_grid_and_heap_agree(vocabulary):
     words = [" " + "".join(rng.choice(list("etaoinshr"), size=rng.integers(1, 30))) for _ in range(300)] + [" \U0001f600é漢▁x", "   "]
     for k in (0, 1):
         keys = np.array([pieces.word_key(w, k, 3) for w in words], np.uint64)
-        assert pieces.segment_words(vocabulary, words, keys, 0.2) == [pieces.segment_word(vocabulary, w, k, 3, 0.2) for w in words]
+        flat, lens = pieces.segment_words(vocabulary, words, keys, 0.2)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [pieces.segment_word(vocabulary, w, k, 3, 0.2) for w in words]
+
+
+def test_one_candidate_is_skipped_as_many_are(vocabulary):
+    rng = np.random.default_rng(4)
+    key, start, end, piece = (rng.integers(0, 1 << 62, 500), *rng.integers(0, 3000, (3, 500)))
+    many = pieces.skipped(key.astype(np.uint64), start, end, piece, 0.3)
+    assert many.tolist() == [pieces.skips_one(*map(int, x), 0.3) for x in zip(key, start, end, piece, strict=True)]
+
+
+def test_dropout_against_a_plain_agenda(vocabulary):
+    """Short words: the same segmentations as a list walked candidate by candidate, given which of them are skipped."""
+
+    def plain(word, skips):
+        parts, barred, nth = [vocabulary.chars[c] for c in word], set(), 0
+        spans = [(i, i + 1) for i in range(len(word))]
+        while True:
+            open_ = [(vocabulary.rank[vocabulary.pairs[a, b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in vocabulary.pairs and (spans[i], spans[i + 1]) not in barred]
+            if not open_:
+                return parts, nth
+            _, i = min(open_)
+            if nth in skips:
+                barred.add((spans[i], spans[i + 1]))
+            else:
+                parts[i : i + 2] = [vocabulary.pairs[parts[i], parts[i + 1]]]
+                spans[i : i + 2] = [(spans[i][0], spans[i + 1][1])]
+            nth += 1
+
+    rng = np.random.default_rng(6)
+    words = [" " + "".join(rng.choice(list("etaoinshrdlu"), size=rng.integers(1, 15))) for _ in range(400)]
+    skips = [tuple(sorted(rng.choice(6, size=rng.integers(0, 4), replace=False).tolist())) for _ in words]
+    flat, lens, drawn = pieces.segment_skipping(vocabulary, words, skips)
+    want = [plain(w, set(k)) for w, k in zip(words, skips, strict=True)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [p for p, _ in want] and drawn.tolist() == [n for _, n in want]
 
 
 def test_each_occurrence_has_its_own_skips(vocabulary):

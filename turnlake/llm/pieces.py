@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ SEGMENT = re.compile(r" *[^ ]+| +")
 NONE = np.iinfo(np.int32).max
 MASK = (1 << 64) - 1
 SHORT = 16
+SLOT_BITS = 19
 
 
 class Vocabulary:
@@ -61,9 +63,19 @@ class Vocabulary:
             for k in range(1, len(p)):
                 if p[:k] in ids and p[k:] in ids:
                     self.pairs[ids[p[:k]], ids[p[k:]]] = i
-        keys = np.array([a * len(pieces) + b for a, b in self.pairs], np.int64)
-        order_k = np.argsort(keys)
-        self.keys, self.joined = keys[order_k], np.array(list(self.pairs.values()), np.int32)[order_k]
+        self.by_rank = np.array(order, np.int32)  # the piece of each rank
+        #: Ranks of pairs: each pair at its slot, those whose slot is taken in a sorted list.
+        keys, ranks = np.array([a * len(pieces) + b for a, b in self.pairs], np.int64), self.rank[list(self.pairs.values())]
+        self.slots, self.slot_rank, self.full = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, NONE, np.int32), np.zeros(1 << SLOT_BITS, bool)
+        at, first = np.unique(self._slot(keys), return_index=True)
+        self.slots[at], self.slot_rank[at] = keys[first], ranks[first]
+        late = np.setdiff1d(np.arange(len(keys)), first)
+        late = late[np.argsort(keys[late])]
+        self.late, self.late_rank = keys[late], ranks[late]
+        self.full[self._slot(self.late)] = True
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for c, i in self.chars.items():
+            self.char_ids[ord(c)] = i
         self.spelled: list[bytes] = [p.replace(MARK, " ").encode() for p in pieces]
         for value, i in enumerate(bytes_at):
             self.spelled[i] = bytes([value])
@@ -78,13 +90,21 @@ class Vocabulary:
         pieces = ["" if hidden(i) else m.id_to_piece(i) for i in range(size)]
         return cls(pieces, [m.get_score(i) for i in range(size)], [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Id of the join of two pieces, -1 for none."""
-        if not len(self.keys):
-            return np.full(left.shape, -1, np.int32)
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * MIX_A) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the join of two pieces, ``NONE`` for no such piece."""
         wanted = left.astype(np.int64) * len(self.pieces) + right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.joined[at], -1).astype(np.int32)
+        wanted[(left < 0) | (right < 0)] = -2
+        at = self._slot(wanted)
+        out = np.where(self.slots[at] == wanted, self.slot_rank[at], NONE)
+        if len(self.late):
+            again = np.flatnonzero(self.full[at] & (out == NONE))
+            spot = np.minimum(np.searchsorted(self.late, wanted[again]), len(self.late) - 1)
+            out[again] = np.where(self.late[spot] == wanted[again], self.late_rank[spot], NONE)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded, without the space put before it."""
@@ -112,6 +132,14 @@ def skipped(key: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarr
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
+def skips_one(key: int, start: int, end: int, piece: int, dropout: float) -> bool:
+    """``skipped`` for a single candidate."""
+    x = (key + start * int(MIX_A) + end * int(MIX_B) + piece * int(MIX_C) + int(MIX_A)) & MASK
+    x = ((x ^ (x >> 30)) * int(MIX_B)) & MASK
+    x = ((x ^ (x >> 27)) * int(MIX_C)) & MASK
+    return ((x ^ (x >> 31)) >> 11) * 2.0**-53 < dropout
+
+
 def segment_word(v: Vocabulary, word: str, variant: int, seed: int, dropout: float) -> list[int]:
     return segment_keyed(v, word, word_key(word, variant, seed), dropout)
 
@@ -121,7 +149,7 @@ def segment_keyed(v: Vocabulary, word: str, key_of: int, dropout: float) -> list
     n = len(word)
     symbols = [v.chars.get(c, -1) for c in word]
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    key = np.array([key_of], np.uint64)
+    key = int(key_of)
     agenda: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
@@ -137,7 +165,7 @@ def segment_keyed(v: Vocabulary, word: str, key_of: int, dropout: float) -> list
         j = after[i]
         if gone[i] or end[i] != mid or j >= n or end[j] != stop:
             continue
-        if dropout and skipped(key, np.array([i]), np.array([stop]), np.array([m]), dropout)[0]:
+        if dropout and skips_one(key, i, stop, m, dropout):
             continue
         symbols[i], end[i], gone[j] = m, stop, True
         after[i] = after[j]
@@ -150,12 +178,13 @@ def segment_keyed(v: Vocabulary, word: str, key_of: int, dropout: float) -> list
     return _spell(v, word, [symbols[i] for i in left], left)
 
 
-def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: float) -> list[list[int]]:
+def segment_words(v: Vocabulary, words: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all words one after another, and how many each has."""
     decide = lambda rows, _, start, stop, piece: skipped(keys[rows], start, stop, piece, dropout) if dropout else np.zeros(len(rows), bool)
-    return side_by_side(v, words, decide)[0]
+    return side_by_side(v, words, decide)[:2]
 
 
-def segment_skipping(v: Vocabulary, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[list[int]], np.ndarray]:
+def segment_skipping(v: Vocabulary, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words segmented while the candidates of these numbers are skipped, and how many candidates came up."""
     table = np.full((len(words), max(1, *map(len, skips))), -1)
     for row, x in enumerate(skips):
@@ -163,52 +192,61 @@ def segment_skipping(v: Vocabulary, words: list[str], skips: list[tuple[int, ...
     return side_by_side(v, words, lambda rows, nth, *_: (table[rows] == nth).any(1))
 
 
-def side_by_side(v: Vocabulary, words: list[str], decide: Callable[..., np.ndarray]) -> tuple[list[list[int]], np.ndarray]:
-    """Words of similar, moderate length, all agendas side by side; ``decide`` says which candidates are skipped."""
-    sizes = np.array([len(w) for w in words], np.int64)
+def side_by_side(v: Vocabulary, words: list[str], decide: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of similar, moderate length, all agendas side by side; ``decide`` says which candidates are skipped.
+
+    A symbol stays at the place of its first character; ``after`` and ``before`` link it to its neighbours.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     n, width = len(words), int(sizes.max())
-    inside = np.arange(width) < sizes[:, None]
-    symbols = np.full((n, width + 1), -2, np.int32)
-    symbols[:, :width][inside] = np.fromiter((v.chars.get(c, -1) for w in words for c in w), np.int32, int(sizes.sum()))
-    starts = np.minimum(np.arange(width + 1), sizes[:, None]).astype(np.int32)
-    joins = v.look_up(symbols[:, :-1], symbols[:, 1:])  # joins[:, j]: the piece of symbols j and j + 1
-    order = np.where(joins >= 0, v.rank[joins], NONE)
-    rows = np.flatnonzero((order < NONE).any(1))
-    columns = np.arange(width + 1)
+    alive = np.arange(width + 1) < sizes[:, None]
+    symbols = np.full((n, width + 1), -1, np.int32)
+    symbols[alive] = v.char_ids[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    # Flat places: row * span + column; the column behind a word's last stands for its end.
+    span = width + 1
+    after = np.arange(n * span) + 1
+    before = np.arange(n * span) - 1
+    before[::span] = -1
+    order = np.full((n, span), NONE, np.int32)
+    order[:, :-1] = v.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
+    symbols, alive, flat_order = symbols.ravel(), alive.ravel(), order.ravel()
+    rows = np.flatnonzero(order.min(1) < NONE)
     drawn, nth = np.zeros(n, np.int64), 0  # each word that isn't done has one candidate come up a turn
     while len(rows):
-        best = order[rows].argmin(1)
-        open_ = order[rows, best] < NONE
-        rows, best = rows[open_], best[open_]
-        if not len(rows):
-            break
-        piece = joins[rows, best]
-        stop = np.where(best + 2 <= width, starts[rows, np.minimum(best + 2, width)], sizes[rows])
-        drop = decide(rows, nth, starts[rows, best], stop, piece)
+        at = order[rows].argmin(1) + rows * span
+        rank = flat_order[at]
+        open_ = rank < NONE
+        if not open_.all():
+            rows, at, rank = rows[open_], at[open_], rank[open_]
+            if not len(rows):
+                break
+        piece, right = v.by_rank[rank], after[at]
+        stop = after[right]
+        drop = decide(rows, nth, at - rows * span, stop - rows * span, piece)
         drawn[rows] += 1
         nth += 1
-        order[rows[drop], best[drop]] = NONE
-        r, j = rows[~drop], best[~drop]
-        if len(r):
-            source = np.minimum(columns + (columns > j[:, None]), width)
-            s = np.take_along_axis(symbols[r], source, 1)
-            s[:, -1] = -2
-            s[np.arange(len(r)), j] = piece[~drop]
-            p = np.take_along_axis(starts[r], source, 1)
-            p[:, -1] = sizes[r]
-            symbols[r], starts[r] = s, p
-            o, q = np.take_along_axis(order[r], source[:, :-1].clip(max=width - 1), 1), np.take_along_axis(joins[r], source[:, :-1].clip(max=width - 1), 1)
-            o[:, -1], q[:, -1] = NONE, -1
-            for at in (j - 1, j):  # only the pairs on either side of the new piece are new
-                ok = at >= 0
-                i, a = np.flatnonzero(ok), at[ok]
-                fresh = v.look_up(s[i, a], s[i, a + 1])
-                q[i, a] = fresh
-                o[i, a] = np.where(fresh >= 0, v.rank[fresh], NONE)
-            order[r], joins[r] = o, q
-    lists, places = symbols.tolist(), starts.tolist()
-    counts = (symbols != -2).sum(1).tolist()
-    return [s[:c] if min(s[:c]) >= 0 else _spell(v, w, s[:c], p[:c]) for w, s, p, c in zip(words, lists, places, counts, strict=True)], drawn
+        flat_order[at[drop]] = NONE
+        keep = ~drop
+        at, right, stop, piece = at[keep], right[keep], stop[keep], piece[keep]
+        symbols[at], alive[right], flat_order[right] = piece, False, NONE
+        after[at] = stop
+        before[stop] = at  # the end's own links are not followed
+        flat_order[at] = v.ranks(piece, np.where(alive[stop], symbols[stop], -1))
+        left = before[at]
+        has = left >= 0
+        flat_order[left[has]] = v.ranks(symbols[left[has]], piece[has])
+    counts = alive.reshape(n, span).sum(1)
+    flat = symbols[alive]
+    spelled = np.flatnonzero((symbols.reshape(n, span) < 0).any(1) & (np.where(alive, symbols, 0).reshape(n, span).min(1) < 0))
+    if len(spelled):  # characters without a piece
+        grid, ends, parts, last = alive.reshape(n, span), np.cumsum(counts).tolist(), [], 0
+        for i in spelled.tolist():
+            begin = ends[i - 1] if i else 0
+            new = _spell(v, words[i], flat[begin : ends[i]].tolist(), np.flatnonzero(grid[i]).tolist())
+            parts += [flat[last:begin], np.array(new, np.int32)]
+            last, counts[i] = ends[i], len(new)
+        flat = np.concatenate([*parts, flat[last:]])
+    return flat, counts, drawn
 
 
 def by_size(words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
@@ -225,6 +263,41 @@ def by_size(words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
         yield order[low:], True
 
 
+class Numbers(dict):
+    """The number of each word, in the order they came."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
+
+
+class Rows:
+    """Lists of pieces one after another, in arrays that grow by half."""
+
+    def __init__(self):
+        self.n = self.used = 0
+        self.starts, self.lens, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        n, used = self.n + len(lens), self.used + len(flat)
+        if n > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x, np.zeros(n + n // 2 - len(x), np.int64)]) for x in (self.starts, self.lens))
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used + used // 2 - len(self.flat), np.int32)])
+        self.starts[self.n : n] = self.used + np.cumsum(lens) - lens
+        self.lens[self.n : n] = lens
+        self.flat[self.used : used] = flat
+        self.n, self.used = n, used
+
+    def cut(self, n: int, used: int) -> None:
+        self.n, self.used = n, used
+
+
 class Encoder:
     """Encodes batches of texts; each node (word, skips) is segmented once while the table lasts."""
 
@@ -233,49 +306,58 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.words: list[str] = []
+        self.numbers = Numbers()
+        self.words = self.numbers.words
         self.long = np.zeros(0, bool)
         self.roots = np.zeros(0, np.int64)  # node of each word without skips, -1: none
         # Of each node: word, numbers of the candidates skipped, candidates still to come up, nodes by how many of those pass.
         self.of: list[int] = []
         self.skips: list[tuple[int, ...]] = []
         self.left, self.kids = np.zeros(0, np.int64), np.zeros((0, SHORT), np.int32)
-        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.rows = Rows()
 
-    def _keep(self, found: list[list[int]]) -> None:
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+    def _segmented(self, words: list[str], skips: list[tuple[int, ...]] | None, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of words one after another, how many each has, and how many candidates came up; by skips, or by keys."""
+        lens, left = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, order = [], []
+        for part, alone in by_size(words):
+            some = [words[i] for i in part.tolist()]
+            if alone:
+                found = [segment_keyed(self.v, w, k, 0.0 if keys is None else self.dropout) for w, k in zip(some, repeat(0) if keys is None else keys[part].tolist(), strict=keys is not None)]
+                lens[part] = [len(x) for x in found]
+                parts.append(np.array([x for ids in found for x in ids], np.int32))
+            elif keys is None:
+                flat, lens[part], left[part] = segment_skipping(self.v, some, [skips[i] for i in part.tolist()])
+                parts.append(flat)
+            else:
+                flat, lens[part] = segment_words(self.v, some, keys[part], self.dropout)
+                parts.append(flat)
+            order.append(part)
+        if not parts:
+            return np.zeros(0, np.int32), lens, left
+        # From the order of sizes back to that of the words.
+        order, flat = np.concatenate(order), np.concatenate(parts)
+        began = np.empty(len(words), np.int64)
+        began[order] = np.cumsum(lens[order]) - lens[order]
+        stop = np.cumsum(lens)
+        return flat[np.repeat(began - (stop - lens), lens) + np.arange(int(stop[-1]))], lens, left
 
     def _grow(self, numbers: list[int], skips: list[tuple[int, ...]]) -> np.ndarray:
         """New nodes for words and their skips."""
-        words = [self.words[i] for i in numbers]
-        found: list[list[int]] = [[]] * len(words)
-        left = np.zeros(len(words), np.int64)
-        for part, alone in by_size(words):
-            if alone:  # without dropout only
-                for i in part.tolist():
-                    found[i] = segment_keyed(self.v, words[i], 0, 0.0)
-                continue
-            lists, drawn = segment_skipping(self.v, [words[i] for i in part], [skips[i] for i in part])
-            left[part] = drawn
-            for i, ids in zip(part.tolist(), lists, strict=True):
-                found[i] = ids
-        nodes = len(self.of) + np.arange(len(words))
+        flat, lens, left = self._segmented([self.words[i] for i in numbers], skips, None)
+        nodes = len(self.of) + np.arange(len(numbers))
         self.of += numbers
         self.skips += skips
         self.left = np.concatenate([self.left, left - np.array([x[-1] + 1 if x else 0 for x in skips], np.int64)])
         if len(self.of) > len(self.kids):
             self.kids = np.concatenate([self.kids, np.full((len(self.of) - len(self.kids) + len(self.kids) // 2, SHORT), -1, np.int32)])
-        self._keep(found)
+        self.rows.add(flat, lens)
         return nodes
 
     def _descend(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The node of each occurrence, from that of its word and its key."""
-        nodes, live, depth = nodes.copy(), np.arange(len(nodes)), 0
+        nodes, depth = nodes.copy(), 0
+        live = np.flatnonzero(self.left[nodes] > 0)
         while len(live):
             depth += 1
             u = ((mix64(keys[live], depth) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
@@ -299,15 +381,10 @@ class Encoder:
             self._clear()
         split = [SEGMENT.findall(" " + t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        known, first = self.numbers, len(self.words)
-        for words in split:
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-                    self.words.append(w)
-        numbers = np.fromiter((known[w] for words in split for w in words), np.int64, int(counts.sum()))
+        first = len(self.words)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if len(self.words) > first:
-            long = np.array([bool(self.dropout) and len(w) > SHORT for w in self.words[first:]], bool)
+            long = np.fromiter((len(w) > SHORT for w in self.words[first:]), bool) & bool(self.dropout)
             roots = np.full(len(long), -1, np.int64)
             fresh = np.flatnonzero(~long)
             roots[fresh] = self._grow((first + fresh).tolist(), [()] * len(fresh))
@@ -320,22 +397,17 @@ class Encoder:
         far = self.long[numbers]
         if self.dropout:
             at[~far] = self._descend(at[~far], keys[~far])
-        tables = self.starts, self.lens, self.flat
+        rows = self.rows
+        kept = rows.n, rows.used
         if far.any():  # put behind the table for this batch only
             where = np.flatnonzero(far)
-            words = [self.words[i] for i in numbers[where].tolist()]
-            found: list[list[int]] = [[]] * len(words)
-            for part, alone in by_size(words):
-                some, of = [words[i] for i in part], keys[where[part]]
-                lists = [segment_keyed(self.v, w, k, self.dropout) for w, k in zip(some, of.tolist(), strict=True)] if alone else segment_words(self.v, some, of, self.dropout)
-                for i, x in zip(part.tolist(), lists, strict=True):
-                    found[i] = x
-            at[where] = len(self.lens) + np.arange(len(where))
-            self._keep(found)
-        lens = self.lens[at]
+            flat, lens, _ = self._segmented([self.words[i] for i in numbers[where].tolist()], None, keys[where])
+            at[where] = rows.n + np.arange(len(where))
+            rows.add(flat, lens)
+        lens = rows.lens[at]
         stop = np.cumsum(lens)
-        flat = self.flat[np.repeat(self.starts[at] - (stop - lens), lens) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        self.starts, self.lens, self.flat = tables
+        flat = rows.flat[np.repeat(rows.starts[at] - (stop - lens), lens) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        rows.cut(*kept)
         owner = np.repeat(np.arange(len(texts)), counts)
         return flat, np.bincount(owner, lens, minlength=len(texts)).astype(np.int64)
 
