@@ -113,15 +113,6 @@ def test_majority_by_rows():
         assert simhash.majority_rows(h).tolist() == simhash.majority(list(h)).tolist()
 
 
-def test_hot_keys_join_like_others(spark):
-    from turnlake.llm.common import hot_keys, spread_join
-
-    rows = spark.createDataFrame([(i % 5000 if i % 3 else 1, i) for i in range(9000)] + [(None, 1)], "k long, i long").repartition(5)
-    ones = spark.range(6000).selectExpr("id AS k", "id * 2 AS v")
-    assert hot_keys(rows, "k") == [1]
-    assert sorted(spread_join(rows, ones, "k").collect()) == sorted(rows.join(ones, "k").collect())
-
-
 def test_similar_texts_form_groups(make):
     rng = random.Random(3)
     rows, group = [], {}

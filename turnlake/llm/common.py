@@ -54,21 +54,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> list:
-    """The keys that more than one row in ``share`` has: fewer than ``share`` of them, whatever the table's size."""
-    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * share > rows.count()).where(F.col(key).isNotNull()).select(key).collect()]
-
-
-def spread_join(rows: DataFrame, one_each: DataFrame, key: str, hot: list | None = None) -> DataFrame:
-    """Inner join of rows with a frame that has one thin row for each key. Rows with hot keys stay where they are: what
-    belongs to those, fewer than 1000 rows, is broadcast; the others are shuffled."""
-    hot = hot_keys(rows, key) if hot is None else hot
-    if not hot:
-        return rows.join(one_each, key)
-    is_hot = F.col(key).isin(hot)
-    return rows.where(~is_hot).join(one_each.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(one_each.where(is_hot)), key))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
@@ -82,9 +67,9 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of all texts: one pruned scan, one row to the driver."""
-    return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
+def text_bytes(docs: DataFrame, text: str = "text", row: int = 64) -> int:
+    """UTF-8 bytes of all texts and ``row`` more for each record: one pruned scan, one row to the driver."""
+    return int(docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + row)).first()[0] or 0)
 
 
 class BoundedCodes(dict):

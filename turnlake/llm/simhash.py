@@ -25,7 +25,9 @@ text columns are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, mix64, raw_bytes, settle, spread_join
+from .common import mix64, raw_bytes, settle, stored
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -170,16 +172,15 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of an edge list (a, b)."""
     pairs = settle(pairs)
-    both = settle(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    hubs = hot_keys(both, "other")  # nodes of very many edges, the same in each round
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = settle(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")))
     while True:
-        offered = spread_join(both, labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other", hubs).groupBy("node").agg(F.min("seen").alias("seen"))
+        offered = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         taken = settle(labels.join(offered, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was")))
         if taken.where("label <> was").isEmpty():
             return taken.select("node", "label")
-        hop = taken.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = settle(spread_join(taken.select("node", "label"), hop, "label").select("node", F.col("next").alias("label")))
+        hop = taken.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        labels = settle(taken.join(hop, taken.label == hop["at"]).select("node", F.col("next").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, crowd: int = 64) -> DataFrame:
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links(first.select("fp"), max_bits, crowd))
     rooted = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return spread_join(prints, settle(named), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def text_node(text: str) -> Column:
@@ -251,18 +252,45 @@ def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
     return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
 
+WORDS = 16  # of 64 bits in a sketch
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(node, s0 .. s15): 1024 bits of each text (node, t). Each is a bit of the least shingle in an order of its own, so
+    that of two texts of similarity s a share of (1 - s) / 2 differ."""
+    orders = mix64(np.arange(64 * WORDS, dtype=np.uint64), 78) | np.uint64(1)
+    names = [f"s{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 64 * WORDS), bool)
+            for row, text in enumerate(raw_bytes(batch.column(1))):
+                h = np.unique(shingle_hashes(text, width))
+                step = max(1, (1 << 18) // max(1, len(h)))
+                for i in range(0, len(orders) if len(h) else 0, step):
+                    out[row, i : i + step] = mix64((h[:, None] * orders[i : i + step]).min(0)) & np.uint64(1)
+            packed = np.packbits(out, axis=1).view(np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(packed[:, i]) for i in range(WORDS)]], names=["node", *names])
+
+    return texts.select("node", "t").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def near_sketches(h: str, m: str, similarity: float) -> Column:
+    """Whether two sketches differ in no more bits than texts of that similarity do, and four deviations."""
+    bits, q = 64 * WORDS, (1 - similarity) / 2
+    apart = reduce(operator.add, [F.bit_count(F.col(f"{h}.s{i}").bitwiseXOR(F.col(f"{m}.s{i}"))) for i in range(WORDS)])
+    return apart <= int(bits * q + 4 * (bits * q * (1 - q)) ** 0.5)
+
+
 def open_meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members (meet, node, ...) of meetings that hold more than one component, with their labels."""
     named = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("meet").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("meet")
-    return settle(spread_join(settle(named), mixed, "meet"))
-
+    return settle(named.join(mixed, "meet"))
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, salts: int = 64) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, t) are similar, computed from the texts.
 
-    The text of a head that is in very many pairs is sent to each of ``salts`` shares of them.
-    """
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, t) are similar, computed from the texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,37 +298,38 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float,
             close = [jaccard(x, y, width) >= similarity for x, y in zip(*texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
-    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-    beside = salted.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(heads, ["a", "salt"])
-    return settle(beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct())
+    beside = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    return settle(beside.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, max_bits: int, views: int, sample: int) -> DataFrame:
     """(doc_id, node, label) of every row; equal labels: one group."""
-    prints = settle(view_prints(docs, id_col, text_col, width, views, sample))
-    own = settle(prints.select("node", "size", "prints").dropDuplicates(["node"]))
+    prints = stored(view_prints(docs, id_col, text_col, width, views, sample), "view-prints")
+    own = stored(prints.select("node", "size", "prints").dropDuplicates(["node"]), "texts-prints")
     met = own.select("node", "size", F.posexplode("prints").alias("view", "print")).select("node", "size", F.xxhash64("view", cell_of("print")).alias("meet"))
-    met = settle(met.join(met.groupBy("meet").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "meet"))
+    met = stored(met.join(met.groupBy("meet").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "meet"), "meetings")
     sizes = own.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
-    pairs = spread_join(met.where("node <> a").select("a", F.col("node").alias("b"), "size").distinct(), sizes, "a")
+    pairs = met.where("node <> a").select("a", F.col("node").alias("b"), "size").distinct().join(sizes, "a")
     pairs = pairs.where(F.least("size", "size_a") >= similarity * F.greatest("size", "size_a") - 1e-9).select("a", "b")
     by_print = own.select("node", F.element_at("prints", -1).alias("fp")).groupBy("fp").agg(F.min("node").alias("a"))
     near = links(by_print.select("fp"), max_bits)
     at = lambda c, d: by_print.select(F.col("fp").alias(c), F.col("a").alias(d))
     near = near.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    tested = settle(pairs.unionByName(near).distinct())
-    texts = docs.select(text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("t"))
-    edges = verified(tested, texts.dropDuplicates(["node"]), width, similarity)
+    pairs = settle(pairs.unionByName(near).distinct())
+    # From here on, only the texts that met others; they are shuffled once for that.
+    some = met.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("t")).join(some, "node", "left_semi")
+    texts = stored(texts.dropDuplicates(["node"]), "texts-that-met")
+    edges = verified(pairs, texts, width, similarity)
     labels = components(edges)
     members = open_meetings(met.where("n > 2 AND node <> a").select("meet", "node", "size"), labels)
     if not members.isEmpty():
-        texts = settle(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-        members = members.join(lone_shingles(texts, width), "node", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
+        some = settle(texts.join(members.select("node").distinct(), "node", "left_semi"))
+        members = members.join(sketches(some, width), "node").join(lone_shingles(some, width), "node", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
         # A text without enough shared shingles is like none of the others.
         members = members.where(F.col("shared") >= similarity * F.col("size") - 1e-9).withColumn("share", F.col("shared") / F.greatest("size", F.lit(1)))
         members = open_meetings(members, labels)
-    heads_each = 8
+    heads_each = 64
     while not members.isEmpty():
         order = Window.partitionBy("meet").orderBy(F.desc("share"), "node")
         heads = settle(members.withColumn("at", F.row_number().over(order)).where(F.col("at") <= heads_each).drop("at"))
@@ -309,17 +338,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarit
         most = F.least("h.shared", "m.shared")
         likely = most >= similarity * (F.col("h.size") + F.col("m.size") - most) - 1e-9
         meet = (F.col("h.meet") == F.col("m.meet")) & (F.col("h.label") != F.col("m.label"))
-        pairs = h.join(m, meet & after & likely).select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = h.join(m, meet & after & likely & near_sketches("h", "m", similarity)).select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
         found = verified(pairs, texts, width, similarity)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = components(edges)
-        tested = tested.unionByName(pairs)
-        members = open_meetings(members.join(heads, ["meet", "node"], "left_anti"), labels)
-        heads_each *= 8
+        members = open_meetings(members.join(heads.select("meet", "node"), ["meet", "node"], "left_anti"), labels)
+        heads_each *= 64
     named = own.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return spread_join(prints.select("doc_id", "node"), named, "node")
+    return prints.select("doc_id", "node").join(named, "node")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 16, sample: int = 4) -> DataFrame:
@@ -331,17 +358,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     link is kept only after its exact similarity was computed from the two texts. Equal texts are one from the start.
 
     All members of a meeting are held against one of them first. Where the others are still of more than one component,
-    they are held against further heads, eight times as many each round, until every two members of a meeting are of one
+    they are held against further heads, 64 times as many each round, until every two members of a meeting are of one
     component or were compared. Heads come in the order of the share of their shingles that others have too: a source of
     edited copies is before its copies. Texts x and y have at most c = min(s_x, s_y) shingles in common, s being those of
     a text that any other has; pairs that ``c / (|x| + |y| - c)`` puts below ``similarity`` aren't compared, nor, of the
-    first ones, those whose sizes alone do.
+    first ones, those whose sizes alone do, nor those whose sketches of 1024 bits are over four deviations further apart
+    than such texts' (3 of 100,000 pairs at just ``similarity``). So in a large group of edited copies of one text, texts
+    are sent for those pairs alone that are near the limit.
 
     A null id counts after all others; component_id is null in a group of such rows only.
     """
     found = settle(_labelled(docs, id_col, text_col, width, similarity, max_bits, views, sample))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return spread_join(found, least, "label").select("doc_id", "component_id")
+    return found.join(least, "label").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, views: int = 16, sample: int = 4) -> DataFrame:
@@ -349,7 +378,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     that share that id that of the smallest text hash; of rows equal in id and text one."""
     found = settle(_labelled(docs, id_col, text_col, width, similarity, max_bits, views, sample))
     best = found.groupBy("label").agg(F.min("doc_id").alias("least"))
-    ours = spread_join(found, best, "label").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    ours = found.join(best, "label").where(F.col("doc_id").eqNullSafe(F.col("least")))
     kept = settle(ours.groupBy("label", "least").agg(F.min("node").alias("__kept_node"), F.count("*").alias("n")))
     rows = docs.withColumn("__kept_node", text_node(text_col)).join(kept.select("__kept_node", F.col("least").alias("__kept_id")), "__kept_node")
     rows = rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
