@@ -1,23 +1,25 @@
-"""A hierarchical Pitman-Yor language model, fitted by Gibbs sampling over all training tokens.
-
-Each token is a customer of the restaurant of its context; every context restaurant has the same parent, the unigram
-restaurant, whose base is uniform over the known types and one more. The context of a token is the ending (last three
-bytes) of the word before it, hashed to one of ``CONTEXTS`` restaurants, so what describes the contexts has a fixed size.
-
-1. One pass over the texts turns blocks of documents into an inverted file: for each (word, context) entry the documents
-   it stands in. Entries are dealt by word hash into buckets; all context restaurants that serve a word, and the parent's
-   tables of that word, then lie in one bucket, at most ``CONTEXTS`` entries a word however frequent it is.
-2. Each bucket merges its blocks into one packed row, written once to the shared folder.
-3. A Gibbs sweep reseats, dish by dish, all customers of a (word, context) given everything else: the n-th one opens a
-   new table with probability (theta + d*T) * P_parent / ((theta + d*T) * P_parent + n - d*t). Its tables are the
-   parent's customers, which are reseated likewise. Only the totals of tables by context (``CONTEXTS`` numbers) and two
-   sums join buckets between sweeps. Random numbers are seeded by (seed, sweep, bucket), so a task that runs again
-   repeats the sweeps before it from those totals and gets the same state; no state is kept between jobs.
-4. Predictive probabilities are averaged over the sweeps after ``burn``, and each bucket adds up its share of every
-   document's log-probability from the inverted file.
-
-Beyond 64 customers of a dish, customers are seated in runs of 1/32 of those seated so far, with a binomial number of
-new tables, so a sweep takes a logarithmic number of steps in the largest count.
+"""A hierarchical Pitman-Yor bigram model, fitted by Gibbs sampling over all training tokens.
+
+Each training token is a customer of the restaurant of its context, the whole word before it. The context restaurants of a
+bucket share a parent restaurant, whose customers are their tables; its base is the discounted unigram distribution of all
+training tokens, over the known types and one more. With one bucket this is the usual two-level model.
+
+1. Words that make up a large share of all tokens are found first (``heavy``): a word of share f or more has that share in
+   some task, so each task names few, and no more than ``2 / f`` are kept, f being at least a millionth.
+2. One pass counts words. Counts of other words return to the buckets that have them, those of heavy words to all.
+3. One pass turns blocks of documents into an inverted file: for each (context, word) entry the documents it stands in,
+   dealt into buckets by context. A heavy context is split by word over several buckets, so none is larger than others;
+   its number of customers is known (it is the word's count), its tables are taken as those of a part times the parts.
+4. A bucket has all its restaurants in one place. A Gibbs sweep reseats the customers of each dish one after another given
+   everything else: the next one opens a table with probability a / (a + n - d t), a = (theta + d T) P_parent, n being
+   seated at t tables. Then the parent's customers are reseated likewise, and the strengths theta are drawn. For large
+   dishes the customer who opens the next table is drawn at once, by inverting the chance that none does before
+   (``next_table``): the same law, in a step for each table instead of each customer.
+5. Predictive probabilities are averaged over the sweeps after ``burn``; each bucket adds up its share of the documents'
+   log-probabilities and sends it to their blocks.
+
+Random numbers are seeded by (seed, bucket), and a bucket's rows are put in order first, so a task that runs again does the
+same.
 
 Defined cases: a null or empty text is just the end token; words are numbered by 64-bit hash; an unknown word has the
 probability of one further type; without training tokens every probability is 1 and the base score 0; repeated rows are
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +39,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, scratch_path, text_bytes
+from .common import MIX_A, mix64, raw_bytes, stored, text_bytes
 
-CONTEXTS = 4096
-END = 0x0E2D0F7E87A11D05  # code of the end token
-START = CONTEXTS - 1  # context of a first token
+END = 0x0E2D0F7E87A11D05  # code of the end token, which is the context of a first token too
 HELD = 1 << 15
+LEAST_SHARE = 1e-6
 
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n_docs", pa.int32()), ("codes", pa.binary()), ("ctx", pa.binary()), ("sizes", pa.binary()), ("posts", pa.binary()), ("docs", pa.binary())])
-SENT_SQL = "bucket int, block long, n_docs int, codes binary, ctx binary, sizes binary, posts binary, docs binary"
-MERGED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("spans", pa.binary()), ("ctx", pa.binary()), ("counts", pa.binary()), ("blocks", pa.binary()), ("uses", pa.binary()), ("sizes", pa.binary()), ("posts", pa.binary()), ("docs", pa.binary())])
-MERGED_SQL = "bucket int, block long, codes binary, spans binary, ctx binary, counts binary, blocks binary, uses binary, sizes binary, posts binary, docs binary"
 DOC = np.dtype([("id", np.int64), ("null", np.bool_), ("held", np.bool_), ("n", np.int64)])
+COUNTED = pa.schema([("part", pa.int64()), ("codes", pa.binary()), ("buckets", pa.binary()), ("counts", pa.binary())])
+TOTALS = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("types", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("tokens", pa.int64())])
+SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("contexts", pa.binary()), ("spans", pa.binary()), ("words", pa.binary()), ("dishes", pa.binary()), ("sizes", pa.binary()), ("posts", pa.binary()), ("docs", pa.binary())])
+SHARES = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary())])
+SQL_TYPES = {pa.int64(): "long", pa.binary(): "binary"}
+
+
+def sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {SQL_TYPES[f.type]}" for f in schema)
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -55,293 +66,397 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class _Numbers(dict):
-    """Number of each word of a block, with the code and the context it gives to the next word."""
+    """Number of each word of a block."""
 
     def __init__(self):
         super().__init__()
-        self.codes, self.endings, self.known = [END], [START], {}
+        self.codes = [END]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.codes)
         self.codes.append(xxhash.xxh64_intdigest(word))
-        tail = word[-3:]
-        if tail not in self.known:
-            self.known[tail] = xxhash.xxh64_intdigest(tail) % (CONTEXTS - 1)
-        self.endings.append(self.known[tail])
         return number
 
 
-def invert(ids: list, texts: list[bytes | None], tokens: int, n_buckets: int) -> Iterator[tuple]:
-    """Blocks of at most about ``tokens`` tokens: (docs, [(bucket, codes, ctx, sizes, posts)])."""
-    numbers, parts, docs = _Numbers(), [], []
-    held = 0
-
-    def flush() -> tuple:
-        number = np.concatenate(parts)
-        table = np.array(docs, DOC)
-        codes, endings = np.array(numbers.codes, np.uint64), np.array(numbers.endings, np.int64)
-        before = endings[np.r_[0, number[:-1]]]  # the end token, number 0, gives START
-        bucket = ((codes >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
-        key = (bucket[number] << 44) | (number << 12) | before
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        post = (np.repeat(np.arange(len(table)), table["n"]) | np.repeat(table["held"] * HELD, table["n"])).astype(np.uint16)[order]
-        entry = key[heads]
-        sizes = np.diff(np.r_[heads, len(key)]).astype(np.uint32)
-        entry_codes, entry_ctx, at = codes[(entry >> 12) & 0xFFFFFFFF], (entry & 0xFFF).astype(np.uint16), entry >> 44
-        cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            end = heads[b] if b < len(heads) else len(key)
-            rows.append((int(at[a]), entry_codes[a:b].tobytes(), entry_ctx[a:b].tobytes(), sizes[a:b].tobytes(), post[heads[a] : end].tobytes()))
-        return table, rows
+@dataclass
+class Block:
+    """Documents one after another: the number of each token (0 ends a document), and the code of each number."""
+
+    docs: np.ndarray
+    numbers: np.ndarray
+    codes: np.ndarray
+
+    def __post_init__(self):
+        self.contexts = np.r_[0, self.numbers[:-1]] if len(self.numbers) else self.numbers
+        self.trained = np.repeat(~self.docs["held"], self.docs["n"])
+
+    def buckets(self, heavy: Heavy, n_buckets: int) -> np.ndarray:
+        """The bucket of each token, by its context; of heavy contexts by its own word too."""
+        parts = heavy.parts_of(self.codes)
+        out = (mix64(self.codes, 1) % np.uint64(n_buckets)).astype(np.int64)[self.contexts]
+        split = np.flatnonzero(parts[self.contexts])
+        u, w = self.contexts[split], self.numbers[split]
+        piece = mix64(self.codes, 2)[w] % parts[u].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out[split] = (mix64(self.codes[u] + (piece + np.uint64(1)) * MIX_A, 1) % np.uint64(n_buckets)).astype(np.int64)
+        return out
+
+
+class Heavy:
+    """Words of a large share: their codes in order, counts, and over how many parts their contexts are dealt."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, parts: np.ndarray):
+        self.codes, self.counts, self.parts = codes, counts, parts
+
+    @classmethod
+    def dealt(cls, codes: np.ndarray, counts: np.ndarray, bucket_tokens: float) -> Heavy:
+        """Contexts dealt over parts of about a quarter of a bucket."""
+        order = np.argsort(codes)
+        return cls(codes[order], counts[order], np.maximum(1, np.ceil(4 * counts[order] / max(1.0, bucket_tokens))).astype(np.int64))
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        return self._find(codes)[1]
+
+    def parts_of(self, codes: np.ndarray) -> np.ndarray:
+        at, found = self._find(codes)
+        return np.where(found, self.parts[at], 0) if len(self.codes) else np.zeros(len(codes), np.int64)
+
+    def counts_of(self, codes: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        at, found = self._find(codes)
+        return np.where(found, self.counts[at], otherwise) if len(self.codes) else otherwise
+
+
+def blocks(ids: list, texts: list[bytes | None], tokens: int) -> Iterator[Block]:
+    """Blocks of at most about ``tokens`` tokens."""
+    numbers, parts, docs, held = _Numbers(), [], [], 0
+
+    def made() -> Block:
+        return Block(np.array(docs, DOC), np.concatenate(parts), np.array(numbers.codes, np.uint64))
 
     for doc, text in zip(ids, texts, strict=True):
         words = (text or b"").lower().split()
         if docs and (held + len(words) > tokens or len(docs) >= HELD - 1):
-            yield flush()
+            yield made()
             numbers, parts, docs, held = _Numbers(), [], [], 0
-        found = np.empty(len(words) + 1, np.int64)
+        found = np.zeros(len(words) + 1, np.int64)
         found[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        found[-1] = 0
         parts.append(found)
         docs.append((doc or 0, doc is None, held_out(doc), len(found)))
         held += len(found)
     if docs:
-        yield flush()
-
-
-def merge(table: pa.Table) -> pa.Table:
-    """One packed row of a bucket's blocks; rows that describe documents pass."""
-    described = table.filter(pa.compute.is_valid(table.column("docs")))
-    out = [(None, b, *[None] * 8, d) for b, d in zip(described.column("block").to_pylist(), described.column("docs").to_pylist(), strict=True)]
-    rows = table.filter(pa.compute.is_null(table.column("docs"))).sort_by("block").to_pydict()
-    if rows["block"]:
-        each = [np.frombuffer(x, np.uint64) for x in rows["codes"]]
-        codes = np.concatenate(each)
-        ctx = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["ctx"]])
-        sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]])
-        posts = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["posts"]])
-        trained = np.add.reduceat((posts < HELD).astype(np.int64), np.cumsum(sizes, dtype=np.int64) - sizes)
-        order = np.lexsort((ctx, codes))
-        new_word = np.r_[True, codes[order][1:] != codes[order][:-1]]
-        new = new_word | np.r_[True, ctx[order][1:] != ctx[order][:-1]]
-        use = np.empty(len(order), np.uint32)
-        use[order] = np.cumsum(new) - 1
-        counts = np.bincount(use, trained, minlength=int(new.sum())).astype(np.uint64)
-        first = order[new]
-        spans = np.diff(np.r_[np.flatnonzero(new_word[new]), int(new.sum())]).astype(np.uint32)
-        blocks = np.array(list(zip(rows["block"], map(len, each), [len(x) // 2 for x in rows["posts"]], rows["n_docs"], strict=True)), np.int64)
-        out.append((rows["bucket"][0], None, codes[order][new_word].tobytes(), spans.tobytes(), ctx[first].tobytes(), counts.tobytes(), blocks.tobytes(), use.tobytes(), sizes.tobytes(), posts.tobytes(), None))
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(MERGED)], schema=MERGED)
-
-
-def seat(counts: np.ndarray, prior: np.ndarray, rest: np.ndarray, discount: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+        yield made()
+
+
+def slices(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the runs of sorted keys."""
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return list(zip(keys[heads].tolist(), heads.tolist(), np.r_[heads[1:], len(keys)].tolist(), strict=True))
+
+
+def count_words(block: Block, heavy: Heavy, n_buckets: int) -> list[tuple]:
+    """Rows (part, codes, buckets, counts): training tokens of each word by the bucket that has it, -1 for heavy words."""
+    n = len(block.codes)
+    bucket = np.where(heavy.has(block.codes)[block.numbers], -1, block.buckets(heavy, n_buckets))
+    keys = (bucket + 1) * n + block.numbers
+    order = np.argsort(keys)
+    heads = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+    counts = np.add.reduceat(block.trained[order].astype(np.int64), heads)
+    word, bucket = block.numbers[order[heads]], bucket[order[heads]]
+    part = (block.codes[word] >> np.uint64(20)) % np.uint64(n_buckets)
+    by = np.argsort(part, kind="stable")
+    return [(p, block.codes[word[by[a:b]]].tobytes(), bucket[by[a:b]].tobytes(), counts[by[a:b]].astype(np.uint32).tobytes()) for p, a, b in slices(part[by].astype(np.int64))]
+
+
+def sum_words(table: pa.Table) -> pa.Table:
+    """Of a part's words the training counts: to each bucket those it has, to -1 those of heavy words; and a row of sums."""
+    rows = table.to_pydict()
+    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]])
+    codes, buckets, counts = join("codes", np.uint64), join("buckets", np.int64), join("counts", np.uint32)
+    words, at = np.unique(codes, return_inverse=True)
+    total = np.bincount(at, counts).astype(np.int64)
+    out = [(None, None, None, int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total.sum()))]
+    keys = np.unique((buckets + 1) * len(words) + at)
+    for b, lo, hi in slices(keys // len(words)):
+        w = keys[lo:hi] % len(words)
+        out.append((b - 1, words[w].tobytes(), total[w].tobytes(), 0, 0, 0, 0))
+    return pa.Table.from_batches([batch_of(out, TOTALS)])
+
+
+def invert(block: Block, heavy: Heavy, n_buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, contexts, spans, words, dishes, sizes, posts) of a block's entries."""
+    n = len(block.codes)
+    keys = block.contexts * n + block.numbers
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+    sizes = np.diff(np.r_[heads, len(keys)])
+    bucket = block.buckets(heavy, n_buckets)[order[heads]]
+    by = np.argsort(bucket, kind="stable")
+    bucket, heads, sizes = bucket[by], heads[by], sizes[by]
+    stop = np.cumsum(sizes)
+    tokens = order[np.repeat(heads - (stop - sizes), sizes) + np.arange(len(keys))]
+    posts = np.repeat(np.arange(len(block.docs)) | block.docs["held"] * HELD, block.docs["n"]).astype(np.uint16)[tokens]
+    context, word = block.contexts[order[heads]], block.numbers[order[heads]]
+    begin = stop - sizes
+    for b, lo, hi in slices(bucket):
+        runs = slices(context[lo:hi])
+        words, dishes = np.unique(word[lo:hi], return_inverse=True)
+        spans = np.array([z - a for _, a, z in runs], np.uint32)
+        yield b, block.codes[[c for c, *_ in runs]].tobytes(), spans.tobytes(), block.codes[words].tobytes(), dishes.astype(np.uint32).tobytes(), sizes[lo:hi].astype(np.uint32).tobytes(), posts[begin[lo] : stop[hi - 1]].tobytes()
+
+
+def log_rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log(Gamma(x + a) / Gamma(x)) for x > 0, a >= 0."""
+
+    def log_gamma(z: np.ndarray) -> np.ndarray:
+        shift = np.log(z * (z + 1) * (z + 2) * (z + 3)) + np.log((z + 4) * (z + 5) * (z + 6) * (z + 7))
+        y = z + 8
+        return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+    far = x > 1e6 * (1 + a * a)
+    y = np.where(far, 1.0, x)
+    return np.where(far, a * np.log(x) + a * (a - 1) / (2 * x), log_gamma(y + a) - log_gamma(y))
+
+
+def next_table(n: np.ndarray, most: np.ndarray, t: np.ndarray, a: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """How many are seated when the next table has been opened, or ``most + 1`` if it isn't by then.
+
+    After n customers at t tables, none of those up to m opens one with probability
+    Gamma(m - dt) Gamma(n - dt + a) / (Gamma(n - dt) Gamma(m - dt + a)); u inverts it.
+    """
+    x, goal = n - discount * t, np.log(u)
+    left = log_rise(x, a)
+    none = lambda m: left - log_rise(m - discount * t, a)
+    low, high = n.astype(np.int64), most.astype(np.int64) + 1  # opened by the customer at low + 1 .. high
+    sure = none(most) > goal  # nobody does
+    low[sure] = high[sure] - 1
+    while (open_ := high - low > 1).any():
+        middle = (low + high) // 2
+        later = none(middle) > goal
+        low = np.where(open_ & later, middle, low)
+        high = np.where(open_ & ~later, middle, high)
+    return high
+
+
+def seat(counts: np.ndarray, prior: np.ndarray, rest: np.ndarray, discount: float, theta: float, rng: np.random.Generator, steps: int = 32) -> np.ndarray:
     """Tables of dishes with ``counts`` customers each, seated one after another; ``rest``: other tables of the restaurant."""
     tables = np.minimum(counts, 1).astype(np.float64)
     live = np.flatnonzero(counts > 1)
     n = 1
-    while len(live):
+    while len(live) and n < steps:
         t = tables[live]
         fresh = (theta + discount * (rest[live] + t)) * prior[live]
-        p = fresh / (fresh + n - discount * t)
-        run = 1 if n < 64 else n // 32
-        if run == 1:
-            tables[live] += rng.random(len(live)) < p
-        else:
-            tables[live] += rng.binomial(np.minimum(counts[live] - n, run).astype(np.int64), p)
-        n += run
+        tables[live] += rng.random(len(live)) < fresh / (fresh + n - discount * t)
+        n += 1
         live = live[counts[live] > n]
+    seated = np.full(len(live), n, np.int64)
+    while len(live):
+        t = tables[live]
+        fresh = (theta + discount * (rest[live] + t)) * prior[live]
+        seated = next_table(seated, counts[live], t, fresh, discount, 1 - rng.random(len(live)))
+        opened = seated <= counts[live]
+        live, seated = live[opened], seated[opened]
+        tables[live] += 1
+        more = seated < counts[live]
+        live, seated = live[more], seated[more]
     return tables
 
 
-class Bucket:
-    """The restaurants of a bucket's words."""
-
-    def __init__(self, row: dict):
-        self.bucket = row["bucket"]
-        self.spans = np.frombuffer(row["spans"], np.uint32).astype(np.int64)
-        self.heads = np.cumsum(self.spans) - self.spans
-        self.ctx = np.frombuffer(row["ctx"], np.uint16).astype(np.int64)
-        self.counts = np.frombuffer(row["counts"], np.uint64).astype(np.float64)
-        self.word = np.repeat(np.arange(len(self.spans)), self.spans)
-        self.word_counts = np.add.reduceat(self.counts, self.heads)
-
-    def start(self) -> None:
-        self.tables = np.minimum(self.counts, 1)
-        self._parent()
-        self.parent_tables = np.minimum(self.parent_counts, 1)
-
-    def _parent(self) -> None:
-        self.parent_counts = np.add.reduceat(self.tables, self.heads)
+def draw_theta(theta: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> float:
+    """A strength given the seating of its restaurants, by auxiliary variables; prior Gamma(1, 1)."""
+    big = customers > 1
+    if not big.any():
+        return theta
+    logs = np.log(np.maximum(rng.beta(theta + 1, customers[big] - 1), 1e-300)).sum()
+    all_but_one = tables[big].astype(np.int64) - 1
+    t = np.minimum(all_but_one, 100_000)
+    i = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t) + 1
+    ones = (rng.random(len(i)) < theta / (theta + discount * i)).sum()
+    # Of tables beyond, each counts with probability theta / (theta + d i), so that their number is Poisson.
+    ones += rng.poisson((theta / discount * np.log(np.maximum(all_but_one, 1) / np.maximum(t, 1))).sum())
+    return float(max(1e-3, rng.gamma(1 + ones) / (1 - logs)))
 
-    def totals(self) -> np.ndarray:
-        """Tables by context, then the parent's customers and tables."""
-        return np.r_[np.bincount(self.ctx, self.tables, minlength=CONTEXTS), self.parent_counts.sum(), self.parent_tables.sum()]
 
-    def prior(self, m: dict, totals: np.ndarray) -> np.ndarray:
-        """The parent's probability of each word."""
-        d, theta = m["d0"], m["theta0"]
-        return (self.parent_counts - d * self.parent_tables + (theta + d * totals[-1]) / (m["types"] + 1)) / (theta + totals[-2])
-
-    def sweep(self, number: int, m: dict, totals: np.ndarray) -> None:
-        rng = np.random.Generator(np.random.PCG64([m["seed"], number, self.bucket]))
-        prior = self.prior(m, totals)
-        self.tables = seat(self.counts, prior[self.word], np.maximum(totals[self.ctx] - self.tables, 0), m["d"], m["theta"], rng)
-        self._parent()
-        uniform = np.full(len(prior), 1 / (m["types"] + 1))
-        self.parent_tables = seat(self.parent_counts, uniform, np.maximum(totals[-1] - self.parent_tables, 0), m["d0"], m["theta0"], rng)
-
-    def predictive(self, m: dict, totals: np.ndarray) -> np.ndarray:
-        """Probability of each (word, context)."""
-        d, theta = m["d"], m["theta"]
-        served = m["served"][self.ctx]
-        return (self.counts - d * self.tables + (theta + d * totals[self.ctx]) * self.prior(m, totals)[self.word]) / (theta + served)
-
-
-def _summed(df: DataFrame, size: int) -> np.ndarray:
-    """Sums by place of rows (place, value): at most ``size`` rows reach the driver."""
-    out = np.zeros(size)
-    for place, value in df.groupBy("place").agg(F.sum("value")).collect():
-        out[place] = value
-    return out
-
-
-def _places(vector: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(vector)
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(vector[at])], names=["place", "value"])
-
-
-def discount_of(n1: float, n2: float) -> float:
+def discount_of(counts: np.ndarray) -> float:
     """Discount by the numbers of dishes with one and with two customers, kept inside (0, 1)."""
+    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, theta: float = 1.0, theta0: float = 1.0, seed: int = 11, block_tokens: int = 1_500_000, bucket_bytes: int = 8 << 20) -> DataFrame:
+class Bucket:
+    """The context restaurants of a bucket and their parent."""
+
+    def __init__(self, rows: dict, base: dict, heavy: Heavy):
+        self.blocks = rows["block"]
+        read = lambda c, t: [np.frombuffer(x, t) for x in rows[c]]
+        context, spans, word, dish, size, self.posts = read("contexts", np.uint64), read("spans", np.uint32), read("words", np.uint64), read("dishes", np.uint32), read("sizes", np.uint32), read("posts", np.uint16)
+        self.sizes, self.entries = size, [len(d) for d in dish]
+        self.contexts, u = np.unique(np.concatenate(context), return_inverse=True)
+        self.words, w = np.unique(np.concatenate(word), return_inverse=True)
+        u = np.repeat(u, np.concatenate(spans))
+        starts = np.cumsum([len(x) for x in word]) - [len(x) for x in word]
+        w = w[np.concatenate([d.astype(np.int64) + s for d, s in zip(dish, starts, strict=True)])]
+        keys, self.use = np.unique(u * len(self.words) + w, return_inverse=True)
+        self.ctx, self.dish = keys // len(self.words), keys % len(self.words)
+        trained = np.concatenate([np.add.reduceat((p < HELD).astype(np.int64), np.cumsum(s, dtype=np.int64) - s) for p, s in zip(self.posts, size, strict=True)])
+        self.counts = np.bincount(self.use, trained, minlength=len(keys))
+        self.served = heavy.counts_of(self.contexts, np.bincount(self.ctx, self.counts, minlength=len(self.contexts)))
+        self.parts = np.maximum(1, heavy.parts_of(self.contexts))
+        self.totals = heavy.counts_of(self.words, self._looked_up(base["codes"], base["counts"])).astype(np.float64)
+
+    def _looked_up(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if not len(codes):
+            return np.zeros(len(self.words), np.int64)
+        at = np.minimum(np.searchsorted(codes, self.words), len(codes) - 1)
+        return np.where(codes[at] == self.words, counts[at], 0)
+
+    def start(self, m: dict) -> None:
+        """A table for each dish; ``root``, the discounted unigram probability of each word."""
+        d = m["discount"]
+        self.root = (np.maximum(self.totals - d, 0) + d * m["types"] / (m["types"] + 1)) / m["tokens"]
+        self.tables = np.minimum(self.counts, 1)
+        self.parent_counts = np.bincount(self.dish, self.tables, minlength=len(self.words))
+        self.parent_tables = np.minimum(self.parent_counts, 1)
+        self.d, self.d0 = discount_of(self.counts), discount_of(self.parent_counts)
+        self.theta, self.theta0 = 1.0, 1.0
+
+    def laid(self) -> np.ndarray:
+        """Tables of each context."""
+        return np.bincount(self.ctx, self.tables, minlength=len(self.contexts)) * self.parts
+
+    def prior(self) -> np.ndarray:
+        """The parent's probability of each word."""
+        back = self.theta0 + self.d0 * self.parent_tables.sum()
+        return (self.parent_counts - self.d0 * self.parent_tables + back * self.root) / (self.theta0 + self.parent_counts.sum())
+
+    def sweep(self, rng: np.random.Generator, strengths: bool = True) -> None:
+        rest = np.maximum(self.laid()[self.ctx] - self.tables, 0)
+        self.tables = seat(self.counts, self.prior()[self.dish], rest, self.d, self.theta, rng)
+        self.parent_counts = np.bincount(self.dish, self.tables, minlength=len(self.words))
+        self.parent_tables = seat(self.parent_counts, self.root, np.maximum(self.parent_tables.sum() - self.parent_tables, 0), self.d0, self.theta0, rng)
+        if strengths:
+            self.theta = draw_theta(self.theta, self.d, self.served, self.laid(), rng)
+            self.theta0 = draw_theta(self.theta0, self.d0, self.parent_counts.sum(keepdims=True), self.parent_tables.sum(keepdims=True), rng)
+
+    def predictive(self) -> np.ndarray:
+        """Probability of each entry's word after its context."""
+        back = (self.theta + self.d * self.laid())[self.ctx] * self.prior()[self.dish]
+        return (self.counts - self.d * self.tables + back) / (self.theta + self.served)[self.ctx]
+
+    def fitted(self, m: dict, rng: np.random.Generator) -> np.ndarray:
+        """log10 of the predictive probabilities, averaged over the sweeps after ``burn``."""
+        if not m["tokens"]:
+            return np.zeros(len(self.counts))
+        self.start(m)
+        mean = np.zeros(len(self.counts))
+        for i in range(m["sweeps"]):
+            self.sweep(rng)
+            if i >= m["burn"]:
+                mean += self.predictive()
+        return np.log10(mean / (m["sweeps"] - m["burn"]))
+
+    def shares(self, m: dict, logs: np.ndarray) -> Iterator[tuple]:
+        """Of each block the sums of its documents: (block, places, scores, base scores, known tokens)."""
+        base = np.log10((self.totals + 0.1) / (m["tokens"] + 0.1 * (m["types"] + 1))) if m["tokens"] else np.zeros(len(self.words))
+        base, known = base[self.dish], (self.totals > 0)[self.dish]
+        first = 0
+        for block, n, sizes, posts in zip(self.blocks, self.entries, self.sizes, self.posts, strict=True):
+            entry = np.repeat(self.use[first : first + n], sizes)
+            first += n
+            at, doc = np.unique(posts & np.uint16(HELD - 1), return_inverse=True)
+            yield block, at.tobytes(), np.bincount(doc, logs[entry]).tobytes(), np.bincount(doc, base[entry]).tobytes(), np.bincount(doc, known[entry]).astype(np.uint32).tobytes()
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, seed: int = 11, block_tokens: int = 1_500_000, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
-    n_buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
+    size = text_bytes(docs, text_col)
+    n_buckets = max(1, -(-size // bucket_bytes))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    share = max(LEAST_SHARE, 1 / (4 * n_buckets))
+
+    def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with half the share or more of a task's training tokens; and, without a word, how many those are."""
+        counts: dict[bytes, int] = {}
+        total = 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
+                if not held_out(doc):
+                    words = (text or b"").lower().split()
+                    for w in words:
+                        counts[w] = counts.get(w, 0) + 1
+                    counts[b""] = counts.get(b"", 0) + 1  # the end token
+                    total += len(words) + 1
+        found = [(xxhash.xxh64_intdigest(w) if w else END, c) for w, c in counts.items() if c >= share / 2 * total]
+        codes = np.array([x for x, _ in found], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *codes.tolist()], pa.int64()), pa.array([total, *[c for _, c in found]], pa.int64())], names=["code", "n"])
+
+    named = texts.mapInArrow(heaviest, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).persist()
+    tokens = int((named.where("code IS NULL").first() or [0, 0])[1] or 0)
+    # At most 2 / share words, so 2 million, reach the driver and are broadcast.
+    found = named.where("code IS NOT NULL").where(F.col("n") >= share / 2 * tokens).collect() if tokens else []
+    named.unpersist()
+    roughly = Heavy.dealt(np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64), tokens / n_buckets)
+    shared = spark.sparkContext.broadcast((roughly.codes, roughly.counts, roughly.parts))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = Heavy(*shared.value)
+        for batch in batches:
+            for block in blocks(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), block_tokens):
+                yield batch_of(count_words(block, heavy, n_buckets), COUNTED)
+
+    totals = stored(texts.mapInArrow(count, sql(COUNTED)).groupBy("part").applyInArrow(sum_words, sql(TOTALS)), "word-counts")
+    types, n1, n2, tokens = (int(x or 0) for x in totals.agg(F.sum("types"), F.sum("n1"), F.sum("n2"), F.sum("tokens")).first())
+    m = {"types": types, "tokens": tokens, "discount": min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5, "sweeps": sweeps, "burn": burn}
+    exact = totals.where("bucket = -1").select("codes", "counts").collect()  # of the heavy words
+    sums = dict(zip(*[np.concatenate([np.frombuffer(r[i], t) for r in exact]).tolist() for i, t in enumerate((np.uint64, np.int64))], strict=True)) if exact else {}
+    served = spark.sparkContext.broadcast(np.array([sums.get(c, 0) for c in roughly.codes.tolist()], np.int64))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for table, rows in invert(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), block_tokens, n_buckets):
-                out = [(b, block, len(table), *x, None) for b, *x in rows]
-                out.append((block % n_buckets, block, len(table), None, None, None, None, table.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(SENT)], schema=SENT)
-                block += 1
-
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(send, SENT_SQL)
-    path = scratch_path(spark, "restaurants")
-    merged = sent.groupBy("bucket").applyInArrow(merge, MERGED_SQL)
-    # Rows are large: look at the size of a page and a row group after each.
-    merged.write.option("compression", "zstd").option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(32 << 20)).parquet(path)
-    stored = spark.read.schema(merged.schema).parquet(path)
-    model_rows = stored.where("bucket IS NOT NULL").select("bucket", "spans", "ctx", "counts")
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                b = Bucket(row)
-                b.start()
-                extra = [b.word_counts.sum(), (b.word_counts > 0).sum(), *[(b.counts == k).sum() for k in (1, 2)], *[(b.parent_counts == k).sum() for k in (1, 2)]]
-                yield _places(np.r_[b.totals(), np.bincount(b.ctx, b.counts, minlength=CONTEXTS), extra].astype(float))
-
-    size = CONTEXTS + 2
-    found = _summed(model_rows.mapInArrow(describe, "place int, value double"), size + CONTEXTS + 6)
-    history, served, (tokens, types, n1, n2, p1, p2) = [found[:size]], found[size : size + CONTEXTS], found[size + CONTEXTS :]
-    m = {"seed": seed, "types": types, "tokens": tokens, "served": served, "theta": theta, "theta0": theta0, "d": discount_of(n1, n2), "d0": discount_of(p1, p2)}
-
-    def replay(b: Bucket, past: list[np.ndarray]) -> Iterator[int]:
-        b.start()
-        for i, totals in enumerate(past):
-            b.sweep(i + 1, m, totals)
-            yield i + 1
-
-    for _ in range(sweeps):
-        past = list(history)
-
-        def sweep(batches: Iterator[pa.RecordBatch], past: list = past) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in _rows(batch):
-                    b = Bucket(row)
-                    for _ in replay(b, past):
-                        pass
-                    yield _places(b.totals())
-
-        history.append(_summed(model_rows.mapInArrow(sweep, "place int, value double"), size))
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}  # sums of a block's documents over the buckets so far, up to a bound
-        size, last = 0, -1
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, sums in held.items():
-                yield _shares([(block, last, None, *[x.tobytes() for x in sums])])
-            held.clear()
-
+        heavy, number = Heavy(*shared.value), TaskContext.get().partitionId() << 24
         for batch in batches:
-            for row in _rows(batch):
-                if row["bucket"] is None:
-                    yield _shares([(row["block"], -1, row["docs"], None, None, None)])
-                    continue
-                b = Bucket(row)
-                last = b.bucket
-                mean = np.zeros(len(b.counts))
-                for number in replay(b, history[:sweeps]):
-                    if number > burn:
-                        mean += b.predictive(m, history[number])
-                logs = np.log10(mean / (sweeps - burn))
-                base = np.log10((b.word_counts + 0.1) / (tokens + 0.1 * (types + 1)))[b.word]
-                known = (b.word_counts > 0)[b.word]
-                use, sizes, posts = np.frombuffer(row["uses"], np.uint32), np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["posts"], np.uint16)
-                u = p = 0
-                for block, n_use, n_post, n_docs in np.frombuffer(row["blocks"], np.int64).reshape(-1, 4).tolist():
-                    entry = np.repeat(use[u : u + n_use], sizes[u : u + n_use])
-                    at = (posts[p : p + n_post] & (HELD - 1)).astype(np.int64)
-                    u, p = u + n_use, p + n_post
-                    sums = [np.bincount(at, logs[entry], minlength=n_docs), np.bincount(at, base[entry], minlength=n_docs), np.bincount(at, known[entry], minlength=n_docs).astype(np.uint32)]
-                    if block in held:
-                        for have, new in zip(held[block], sums, strict=True):
-                            have += new
-                    else:
-                        held[block] = sums
-                        size += n_docs
-                if size > 1_000_000:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+            for block in blocks(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), block_tokens):
+                out = [(b, number, *x, None) for b, *x in invert(block, heavy, n_buckets)]
+                out.append((number % n_buckets, number, *[None] * 6, block.docs.tobytes()))
+                yield batch_of(out, SENT)
+                number += 1
+
+    def fit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        described = left.filter(left.column("docs").is_valid())
+        out = [(b, None, d, None, None, None, None) for b, d in zip(described.column("block").to_pylist(), described.column("docs").to_pylist(), strict=True)]
+        rows = left.filter(left.column("docs").is_null()).sort_by("block").to_pydict()
+        if rows["block"]:
+            given = [np.concatenate([np.frombuffer(x, t) for x in right.column(c).to_pylist()]) if len(right) else np.empty(0, t) for c, t in (("codes", np.uint64), ("counts", np.int64))]
+            order = np.argsort(given[0])
+            me = key[0].as_py()
+            bucket = Bucket(rows, {"codes": given[0][order], "counts": given[1][order]}, Heavy(shared.value[0], served.value, shared.value[2]))
+            logs = bucket.fitted(m, np.random.Generator(np.random.PCG64([seed, me])))
+            out += [(block, me, None, *x) for block, *x in bucket.shares(m, logs)]
+        return pa.Table.from_batches([batch_of(out, SHARES)])
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.sort_by("bucket").to_pylist()
-        docs = np.frombuffer(next(r["docs"] for r in rows if r["docs"] is not None), DOC)
-        scores, base, known = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros(len(docs), np.int64)
+        of = np.frombuffer(next(r["docs"] for r in rows if r["docs"] is not None), DOC)
+        scores, base, known = np.zeros(len(of)), np.zeros(len(of)), np.zeros(len(of), np.int64)
         for r in rows:
             if r["docs"] is None:
-                scores += np.frombuffer(r["score"], np.float64)
-                base += np.frombuffer(r["base"], np.float64)
-                known += np.frombuffer(r["known"], np.uint32)
+                at = np.frombuffer(r["at"], np.uint16)
+                scores[at] += np.frombuffer(r["score"], np.float64)
+                base[at] += np.frombuffer(r["base"], np.float64)
+                known[at] += np.frombuffer(r["known"], np.uint32)
         return pa.Table.from_arrays(
-            [pa.array(docs["id"], mask=docs["null"]), pa.array(docs["held"]), pa.array(docs["n"]), pa.array(known), pa.array(np.full(len(docs), int(tokens))), pa.array(base), pa.array(scores), pa.array(10 ** np.minimum(-scores / docs["n"], 300))],
+            [pa.array(of["id"], mask=of["null"]), pa.array(of["held"]), pa.array(of["n"]), pa.array(known), pa.array(np.full(len(of), tokens, np.int64)), pa.array(base), pa.array(scores), pa.array(10 ** np.minimum(-scores / of["n"], 300))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
-    shares = stored.select("bucket", "block", "spans", "ctx", "counts", "blocks", "uses", "sizes", "posts", "docs").mapInArrow(share, SHARES_SQL)
+    sent = texts.mapInArrow(send, sql(SENT))
+    counts = totals.where("bucket >= 0").select("bucket", "codes", "counts")
+    shares = sent.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(fit, sql(SHARES))
     return shares.groupBy("block").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """The rows of a batch one at a time: a packed row is large."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
-
-
-SHARES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary())])
-SHARES_SQL = "block long, bucket int, docs binary, score binary, base binary, known binary"
-
-
-def _shares(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SHARES)], schema=SHARES)
