@@ -97,8 +97,14 @@ def occurrences(numbers: np.ndarray, patterns: np.ndarray, phrase: int) -> np.nd
     """Start of every occurrence in ``numbers`` of the phrases that stand at ``patterns``, by one automaton."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    text = tuple(numbers.tolist())
+    # Words as characters, past the surrogates: a string is read several times faster than a tuple of numbers.
+    codes = numbers + (numbers >= 0xD800) * 0x800
+    if len(codes) and codes.max() < 0x110000:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        text = codes.astype(np.uint32).tobytes().decode("utf-32-le")
+    else:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        text = tuple(numbers.tolist())
     for p in patterns.tolist():
         automaton.add_word(text[p : p + phrase])
     if not len(automaton):
