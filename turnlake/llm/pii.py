@@ -5,23 +5,32 @@ so a pseudonym has the format of the original, equal values have equal pseudonym
 have different ones, and the key holder can go back (``reveal``). The permutation is a balanced Feistel network over the
 values' numbers, its round function a keyed BLAKE2b of (kind, round, half), with cycle walking to stay in the format.
 
-Kinds: payment cards (13 to 19 digits, Luhn; the check digit is made anew), IBANs (mod 97, likewise), North American
-phone numbers, US social security numbers, IPv4 addresses, calendar dates (ISO and day or month first), e-mail addresses
-(letters and digits of the local part; the domain stays) and hexadecimal tokens of 32 to 64 digits. A number that fails
-validation isn't personal data of that kind and stays.
+Kinds: payment cards (13 to 19 digits, Luhn; the check digit is made anew), IBANs (mod 97, likewise), phone numbers (North
+American ones, and others with + and a country code, which stays), US social security numbers, IPv4 and IPv6 addresses,
+calendar dates (ISO and day or month first), e-mail addresses (letters and digits of the local part; the domain stays)
+and hexadecimal tokens of 32 to 64 digits. A number that fails validation isn't personal data of that kind and stays.
 
-Separators and everything around a value stay as they are. Two writings of one card, phone or IBAN number are linked.
+Separators and everything around a value stay as they are. Writings of one card, phone or IBAN number are linked, as are
+those of one date in any order, and local parts that differ in the case of A-Z only. Dates keep whether their day is over
+12, so that an order which the original shows is still shown. Letters of other scripts are permuted among those of the
+same kind in their block of 128 code points. A long local part is permuted in runs of ``RUN`` characters.
 
-Defined cases: a null text stays null; an empty one empty; values inside longer runs of word characters aren't values;
-repeated rows get the same result; an empty table gives an empty result; all other columns of ``pseudonymized`` pass.
+The key is that of ``spark.turnlake.pii.key`` where set, or the one given; the default is public and for tests only.
+
+Defined cases: a null text stays null; an empty one empty; values inside longer runs of word characters aren't values; an
+address without a letter or digit before the @ stays and isn't counted; repeated rows get the same result; an empty table
+gives an empty result; all other columns of ``pseudonymized`` pass.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
+import ipaddress
 import re
 import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,7 +40,8 @@ from pyspark.sql import functions as F
 KEY = b"replace this key in production"
 ROUNDS = 8
 DIGIT = re.compile(r"[0-9]")
-EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]+)(@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![A-Za-z0-9-])")
+EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]+)(@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,})(?![\w-])")
+RUN = 64
 VALUES = re.compile(
     r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<token>(?<!\w)(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?!\w))"
@@ -40,11 +50,33 @@ VALUES = re.compile(
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-[0-9]))"
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\10[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\11[0-9]{4})(?!\w|[./-][0-9]))"
+    r"|(?P<intl>(?<![\w+])\+[2-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{1,4}\)){7,14}(?!\w|[.-][0-9]))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.[0-9]))"
 )
+COUNTED_AS = {"intl": "phone", "ip6": "ip"}
+# Country calling codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 KINDS = ("email", "iban", "token", "phone", "card", "ip", "ssn", "date")
 LATIN = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
-ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase, LATIN)
-CLASS_OF = {c: a for a in ALPHABETS for c in a}
+
+
+@functools.cache
+def alphabet_of(c: str) -> str:
+    """The characters that one may become: digits, a-z (case is put back), Latin-1 letters, or those of the same kind in a
+    block of another script; itself where nothing else is."""
+    if c in string.digits:
+        return string.digits
+    if c in string.ascii_letters:
+        return string.ascii_lowercase
+    if c in LATIN:
+        return LATIN
+    if not c.isalnum() or c.isascii():
+        return c
+    kind, block = unicodedata.category(c), ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == kind and x not in LATIN)
+
+
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -55,7 +87,9 @@ class Permutation:
         self.key, self.back = hashlib.blake2b(key, digest_size=32).digest(), back
 
     def _round(self, kind: str, i: int, half: int, bits: int) -> int:
-        made = hashlib.blake2b(f"{kind}/{bits}/{i}/{half}".encode(), key=self.key, digest_size=(bits + 7) // 8 + 8).digest()
+        size, name, made = (bits + 7) // 8 + 8, f"{kind}/{bits}/{i}/{half}".encode(), b""
+        while len(made) < size:  # one digest but for very wide halves
+            made += hashlib.blake2b(name + b"/%d" % len(made) if made else name, key=self.key, digest_size=min(64, size - len(made))).digest()
         return int.from_bytes(made, "big") & ((1 << bits) - 1)
 
     def _network(self, kind: str, value: int, bits: int) -> int:
@@ -89,24 +123,32 @@ def refilled(shape: str, digits: str) -> str:
 
 
 def by_class(p: Permutation, kind: str, text: str) -> str:
-    """Each character permuted within its alphabet, all of them as one number; other characters stay."""
+    """Each character permuted within its alphabet, those of a run as one number; others, and the case of A-Z, stay."""
+    if len(text) > RUN:
+        return "".join(by_class(p, f"{kind}/{i}" if i else kind, text[i : i + RUN]) for i in range(0, len(text), RUN))
+    alphabets = [alphabet_of(c) for c in text]
+    folded = [c.lower() if c.isascii() else c for c in text]
     n, value = 1, 0
-    for c in text:
-        if a := CLASS_OF.get(c):
+    for c, a in zip(folded, alphabets, strict=True):
+        if len(a) > 1:
             value, n = value * len(a) + a.index(c), n * len(a)
     if n == 1:
         return text
-    shape = "".join("dluo"[ALPHABETS.index(a)] if (a := CLASS_OF.get(c)) else "-" for c in text)
+    shape = "".join(a[0] if len(a) > 1 else "-" for a in alphabets)
     value = p.of(f"{kind}/{shape}", value, n)
     out = []
-    for c in reversed(text):
-        if a := CLASS_OF.get(c):
+    for c, a in zip(reversed(text), reversed(alphabets), strict=True):
+        if len(a) > 1:
             value, at = divmod(value, len(a))
-            c = a[at]
+            c = a[at].upper() if c.isascii() and c.isupper() else a[at]
         out.append(c)
     return "".join(reversed(out))
 
 
+def email(p: Permutation, local: str, domain: str) -> str | None:
+    return by_class(p, "email", local) + domain if any(len(alphabet_of(c)) > 1 for c in local) else None
+
+
 def card(p: Permutation, text: str) -> str | None:
     digits = re.sub("[ -]", "", text)
     if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
@@ -139,6 +181,28 @@ def phone(p: Permutation, text: str) -> str | None:
     return prefix + refilled(text[len(prefix) :], f"{made:010d}")
 
 
+def intl(p: Permutation, text: str) -> str | None:
+    digits = re.sub("[^0-9]", "", text)
+    code = digits[: 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3]
+    rest = digits[len(code) :]
+    if not 8 <= len(digits) <= 15:
+        return None
+    n, least = 10 ** len(rest), 10 ** (len(rest) - 1)
+    made = p.of(f"phone/{code}", int(rest), n, (lambda v: v >= least) if rest[0] != "0" else (lambda v: v < least))
+    return refilled(text, code + f"{made:0{len(rest)}d}")
+
+
+def ip6(p: Permutation, text: str) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if value >> 112 == 0:  # unspecified, loopback and the like
+        return None
+    made = ipaddress.IPv6Address(p.of("ip6", value, 1 << 128, lambda v: v >> 112 != 0))
+    return made.exploded if len(text) == 39 else made.compressed
+
+
 def ip(p: Permutation, text: str) -> str | None:
     parts = text.split(".")
     if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
@@ -165,11 +229,12 @@ def date(p: Permutation, text: str) -> str | None:
             value = as_day(y, m, d)
         except ValueError:
             continue
-        usual = lambda v: FIRST_DAY <= v + 1 <= LAST_DAY
-        same = usual if usual(value - 1) else lambda v: not usual(v)  # a year like the original's
-        # Month first is read only where day first can't be, and must stay so.
-        fits = same if order != "month" else lambda v: same(v) and datetime.date.fromordinal(v + 1).day > 12
-        made = datetime.date.fromordinal(p.of("date" if order != "month" else "date/month", value - 1, datetime.date.max.toordinal(), fits) + 1)
+        usual = FIRST_DAY <= value <= LAST_DAY
+        low, high = (FIRST_DAY, LAST_DAY) if usual else (1, datetime.date.max.toordinal())
+        late = datetime.date.fromordinal(value).day > 12
+        # A year like the original's, and a day that leaves as open as it was which number is the month.
+        fits = lambda v: (datetime.date.fromordinal(v + low).day > 12) == late and (usual or not FIRST_DAY <= v + low <= LAST_DAY)
+        made = datetime.date.fromordinal(p.of(f"date/{usual}", value - low, high - low + 1, fits) + low)
         shown = {"iso": f"{made.year:04d}{made.month:02d}{made.day:02d}", "day": f"{made.day:02d}{made.month:02d}{made.year:04d}", "month": f"{made.month:02d}{made.day:02d}{made.year:04d}"}
         return refilled(text, shown[order])
     return None
@@ -181,7 +246,7 @@ def token(p: Permutation, text: str) -> str | None:
     return f"{p.of('token', int(text, 16), 16**n, mixed):0{n}x}"
 
 
-MAKERS = {"card": card, "iban": iban, "phone": phone, "ip": ip, "ssn": ssn, "date": date, "token": token}
+MAKERS = {"card": card, "iban": iban, "phone": phone, "ip": ip, "ssn": ssn, "date": date, "token": token, "intl": intl, "ip6": ip6}
 
 
 class Pseudonyms:
@@ -192,7 +257,7 @@ class Pseudonyms:
 
     def replaced(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts: dict[str, int] = {}
-        if not text or not DIGIT.search(text) and "@" not in text:
+        if not text or not DIGIT.search(text) and "@" not in text and ":" not in text:
             return text, counts
 
         def once(kind: str, value: str, make: Callable[[], str | None]) -> str:
@@ -203,6 +268,7 @@ class Pseudonyms:
             image = self.made[kind, value]
             if image is None:
                 return value
+            kind = COUNTED_AS.get(kind, kind)
             counts[kind] = counts.get(kind, 0) + 1
             return image
 
@@ -210,17 +276,22 @@ class Pseudonyms:
         pieces: list[tuple[int, int, str]] = []
         if "@" in text:
             for m in EMAIL.finditer(text):
-                pieces.append((m.start(1), m.end(), once("email", m[0], lambda m=m: by_class(self.p, "email", m[1]) + m[2])))
+                pieces.append((m.start(1), m.end(), once("email", m[0], lambda m=m: email(self.p, m[1], m[2]))))
         for start, stop, image in [*pieces, (len(text), len(text), "")]:
             between = text[last:start]
-            out.append(VALUES.sub(lambda m: once(m.lastgroup if m.lastgroup in MAKERS else next(k for k in MAKERS if m[k]), m[0], lambda: MAKERS[next(k for k in MAKERS if m[k])](self.p, m[0])), between) if DIGIT.search(between) else between)
+            out.append(VALUES.sub(lambda m: once(m.lastgroup if m.lastgroup in MAKERS else next(k for k in MAKERS if m[k]), m[0], lambda: MAKERS[next(k for k in MAKERS if m[k])](self.p, m[0])), between) if DIGIT.search(between) or ":" in between else between)
             out.append(image)
             last = stop
         return "".join(out), counts
 
 
-def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, back: bool = False) -> DataFrame:
+def key_of(docs: DataFrame, key: bytes | None) -> bytes:
+    return key or (docs.sparkSession.conf.get("spark.turnlake.pii.key", None) or "").encode() or KEY
+
+
+def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes | None = None, back: bool = False) -> DataFrame:
     """``docs`` with the values in its texts replaced; all other columns as they are."""
+    key = key_of(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Pseudonyms(key, back)
@@ -232,13 +303,14 @@ def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, bac
     return docs.mapInArrow(run, docs.schema)
 
 
-def reveal(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def reveal(docs: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """The originals again, for the holder of the key."""
     return pseudonymized(docs, text_col, key, back=True)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """Per row: doc_id, text (with pseudonyms), n_values and how many of each kind."""
+    key = key_of(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Pseudonyms(key)
