@@ -5,10 +5,11 @@ bucket into memory, puts it in an order that doesn't depend on arrival, and Fish
 seeded by (seed, bucket). The buckets one after another are a uniform shuffle of the whole table; position g of it goes
 to shard ``g % shards`` as slot ``g // shards``, so that shard counts are at most one apart and slots have no gaps.
 
-Only bucket counts (one row for each 32 MB of text) meet in one place, to turn bucket positions into global ones.
+Bucket counts are added up in groups of 1024 buckets; only the sums of these groups (one row for each 16 GB) meet in one
+place, to turn bucket positions into global ones.
 
-Defined cases: a null text has no bytes (size 1, checksum 0); repeated rows are separate records; a null id is hashed
-as such; an empty table gives empty shards. Further columns travel with their record; those that would clash with the
+Defined cases: a null text has no bytes (size 1, checksum 0); repeated rows are separate records; null ids stay null, and
+ids of any size are kept as they are; a table of tiny texts still makes buckets of a bounded number of rows; an empty table gives empty shards. Further columns travel with their record; those that would clash with the
 columns added here are not carried by ``shuffled`` (it takes the columns to carry by name).
 """
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,30 +45,40 @@ def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     fields = [docs.schema[c] for c in columns]
     scattered = docs.select(*columns).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(n_buckets)).cast("int"))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        # An order that depends on the records alone; equal ids and texts are told apart by what they carry.
-        tie = part[columns].astype(str).agg("\x1f".join, axis=1) if part[id_col].duplicated().any() else part[id_col]
-        part = part.iloc[np.argsort(tie.to_numpy(), kind="stable")]
-        out = part.iloc[fisher_yates(len(part), seed, int(key[0]))].copy()
-        out["pos"] = np.arange(len(out), dtype=np.int64)
-        return out
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        # An order that depends on the records alone; equal ids are told apart by all that is carried.
+        ids = part.column(id_col)
+        if len(ids.unique()) < len(ids):
+            rows = list(zip(*[map(str, part.column(c).to_pylist()) for c in columns], strict=True))
+            order = np.array(sorted(range(len(rows)), key=rows.__getitem__), np.int64)
+        else:
+            order = np.asarray(pc.sort_indices(ids))
+        part = part.take(pa.array(order[fisher_yates(len(part), seed, key[0].as_py())]))
+        return part.append_column("pos", pa.array(np.arange(len(part), dtype=np.int64)))
 
     schema = T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("pos", T.LongType())])
-    return scattered.groupBy("bucket").applyInPandas(run, schema)
+    return scattered.groupBy("bucket").applyInArrow(run, schema)
 
 
 def placed(records: DataFrame, shards: int = 8) -> DataFrame:
     """Adds shard and slot to records that have bucket and pos."""
-    counts = records.groupBy("bucket").agg(F.count("*").alias("held"))
-    offsets = settle(counts.withColumn("base", F.sum("held").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("base", F.lit(0)).alias("base")))
+    counts = settle(records.groupBy("bucket").agg(F.count("*").alias("held")))
+    # Running sums in two steps: within groups of buckets, and over the groups.
+    group = F.floor(F.col("bucket") / 1024).alias("part")
+    inside = F.sum("held").over(Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    parts = counts.groupBy(group).agg(F.sum("held").alias("all"))
+    before = parts.withColumn("before", F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
+    offsets = settle(counts.withColumn("part", group).withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "part").select("bucket", (F.col("inside") + F.col("before")).alias("base")))
     at = F.col("base") + F.col("pos")
     return records.join(offsets, "bucket").withColumn("shard", F.pmod(at, F.lit(shards)).cast("int")).withColumn("slot", F.floor(at / shards).cast("long")).drop("base")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), seed: int = 17) -> None:
-    """Write the shuffled records as ``path/shard=N``, each file in slot order."""
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), seed: int = 17, file_rows: int = 200_000) -> None:
+    """Write the shuffled records as ``path/shard=N``: files of ``file_rows`` slots, each in slot order, a task a file."""
     records = settle(shuffled(docs, id_col, text_col, carry, seed))
-    placed(records, shards).drop("bucket", "pos").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    cut = placed(records, shards).drop("bucket", "pos").withColumn("__file", F.floor(F.col("slot") / file_rows))
+    files = shards * max(1, -(-records.count() // (shards * file_rows)))
+    cut.repartitionByRange(files, "shard", "__file").sortWithinPartitions("shard", "slot").drop("__file").write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
