@@ -6,13 +6,17 @@ Transition weights between the languages of neighbouring words are learned with
 spliced from documents of different languages, by stochastic gradient (AdaGrad) on the exact log-likelihood from
 forward-backward. A text's language is the one with the largest mean posterior over its words that have a letter.
 
-The fit takes a bounded sample of labelled rows: at most ``per_lang`` documents of each of the at most ``max_langs``
-most frequent languages, of at most ``doc_bytes`` bytes each, chosen by hashed id. Prediction takes every word of every
-text, in sequences of ``span`` words.
+The fit takes a bounded sample of labelled rows, all bounds being parameters: at most ``per_lang`` documents of each of the
+at most ``max_langs`` most frequent languages, of at most ``doc_bytes`` bytes each, chosen by hashed id, and of those at
+most ``words_per_lang`` words a language. Prediction takes every word of every text, in sequences of ``span`` words, with
+``around`` words of the text before and behind each, whose labels are those of their own sequences.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows all are; ties go to
-the language first in order; repeated rows get the same result each; an empty table gives an empty result; columns
-besides id and text aren't read for a prediction (lang only for the fit).
+``labelled_runs`` gives the runs of words of one language in each text; ``identify`` sums the same posteriors up by text.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0 and has no runs; without labelled rows all
+are; ties go to the language first in order; a fit on very few words still trains on those; repeated rows get the same
+result each; an empty table gives an empty result; columns besides id and text aren't read for a prediction (lang only
+for the fit).
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -67,7 +71,7 @@ def features(words: list[str], slots: int, lexicon: np.ndarray, langs: int) -> t
     owners.append(some)
     masks = lexicon[(crc % np.uint64(LEX_SLOTS)).astype(np.int64)]
     for k in range(langs):
-        has = some[((masks[some] >> np.uint64(k)) & np.uint64(1)).astype(bool)]
+        has = some[((masks[some, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)]
         places.append(np.full(len(has), slots + k, np.uint64))
         owners.append(has)
     at = np.concatenate(owners)
@@ -117,7 +121,7 @@ def train(samples: dict[str, list[list[str]]], slots: int = 1 << 16, length: int
     langs = sorted(samples)
     rng = np.random.Generator(np.random.PCG64(seed))
     n = len(langs)
-    lexicon = np.zeros(LEX_SLOTS, np.uint64)
+    lexicon = np.zeros((LEX_SLOTS, -(-n // 64)), np.uint64)
     pieces: list[tuple[int, list[str]]] = []
     for at, lang in enumerate(langs):
         taken, seen = 0, {}
@@ -133,10 +137,11 @@ def train(samples: dict[str, list[list[str]]], slots: int = 1 << 16, length: int
                 i += k
         for w, c in seen.items():
             if c > 1:
-                lexicon[zlib.crc32(w.encode("utf-8", "surrogatepass")) % LEX_SLOTS] |= np.uint64(1 << at)
+                lexicon[zlib.crc32(w.encode("utf-8", "surrogatepass")) % LEX_SLOTS, at // 64] |= np.uint64(1 << at % 64)
     order = rng.permutation(len(pieces))
     words = [w for i in order for w in pieces[i][1]]
     labels = np.array([pieces[i][0] for i in order for _ in pieces[i][1]], np.int64)
+    length = max(1, min(length, len(words)))
     count = len(words) // length
     field = Field(langs, lexicon, np.zeros((slots + n, n)), np.zeros((n, n)))
     if not count or n == 1:
@@ -176,8 +181,8 @@ def train(samples: dict[str, list[list[str]]], slots: int = 1 << 16, length: int
 class Tagger:
     """Posteriors of whole texts, with the emissions of words met so far kept within a bound."""
 
-    def __init__(self, field: Field, span: int = 256, keep: int = 500_000, cells: int = 400_000):
-        self.field, self.span, self.keep, self.cells = field, span, keep, cells
+    def __init__(self, field: Field, span: int = 256, around: int = 24, keep: int = 500_000, cells: int = 400_000):
+        self.field, self.span, self.around, self.keep, self.cells = field, span, around, keep, cells
         self._clear()
 
     def _clear(self) -> None:
@@ -195,8 +200,8 @@ class Tagger:
             self.real = np.concatenate([self.real, np.array([any(map(str.isalpha, b)) for b in bare])])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: mean posterior by language, words with letters, changes of language between such words."""
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words with letters: text, place among the words of the text, posterior by language."""
         if len(self.known) > self.keep:
             self._clear()
         n = len(self.field.langs)
@@ -204,13 +209,19 @@ class Tagger:
         flat = self._numbers([w for ws in numbers for w in ws])
         counts = np.array([len(ws) for ws in numbers], np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
         real = self.real[flat]
-        flat, owner = flat[real], owner[real]
+        flat, owner, place = flat[real], owner[real], place[real]
         counts = np.bincount(owner, minlength=len(texts))
-        starts = np.cumsum(counts) - counts
+        stops = np.cumsum(counts)
+        starts = stops - counts
         begin = np.concatenate([np.arange(s, s + c, self.span) for s, c in zip(starts.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.int64)]).astype(np.int64)
-        sizes = np.minimum(self.span, (starts + counts)[owner[begin]] - begin) if len(begin) else begin
         gamma = np.zeros((len(flat), n), np.float32)
+        if not len(begin):
+            return owner, place, gamma
+        end = np.minimum(begin + self.span, stops[owner[begin]])
+        low = np.maximum(begin - self.around, starts[owner[begin]])  # with some words around
+        sizes = np.minimum(end + self.around, stops[owner[begin]]) - low
         order = np.argsort(sizes, kind="stable")
         i = 0
         while i < len(order):
@@ -219,39 +230,75 @@ class Tagger:
                 j += 1
             part = order[i:j]
             t = int(sizes[part].max())
-            grid = begin[part][:, None] + np.arange(t)
+            grid = low[part][:, None] + np.arange(t)
             inside = np.arange(t) < sizes[part][:, None]
             scores = self.rows[flat[np.minimum(grid, len(flat) - 1)]] * inside[..., None]
-            gamma[grid[inside]] = forward_backward(scores, sizes[part], self.field.moves)[0][inside]
+            own = (grid >= begin[part][:, None]) & (grid < end[part][:, None])
+            gamma[grid[own]] = forward_backward(scores, sizes[part], self.field.moves)[0][own]
             i = j
-        means = np.stack([np.bincount(owner, gamma[:, k], minlength=len(texts)) for k in range(n)], 1) / np.maximum(counts, 1)[:, None]
+        return owner, place, gamma
+
+    def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: mean posterior by language, words with letters, changes of language between such words."""
+        owner, _, gamma = self.posteriors(texts)
+        counts = np.bincount(owner, minlength=len(texts))
+        means = np.stack([np.bincount(owner, gamma[:, k], minlength=len(texts)) for k in range(len(self.field.langs))], 1) / np.maximum(counts, 1)[:, None]
         best = gamma.argmax(1)
         turns = np.bincount(owner[1:], (best[1:] != best[:-1]) & (owner[1:] == owner[:-1]), minlength=len(texts)).astype(np.int64) if len(owner) > 1 else np.zeros(len(texts), np.int64)
         return means, counts, turns
 
+    def runs(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text its runs of one language: (language, first word, word behind the last, mean posterior)."""
+        owner, place, gamma = self.posteriors(texts)
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+        if len(owner):
+            best = gamma.argmax(1)
+            heads = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])])
+            ends = np.r_[heads[1:], len(owner)]
+            sums = np.add.reduceat(gamma.max(1).astype(float), heads)
+            for a, z, p in zip(heads.tolist(), ends.tolist(), sums.tolist(), strict=True):
+                out[owner[a]].append((self.field.langs[best[a]], int(place[a]), int(place[z - 1]) + 1, p / (z - a)))
+        return out
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 64, doc_bytes: int = 200_000, **how) -> Field | None:
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 256, doc_bytes: int = 200_000, **how) -> Field | None:
     ident = F.col(id_col).cast("long")
     labelled = docs.where(F.col(lang_col).isNotNull() & ident.isNotNull() & (F.crc32(ident.cast("string").cast("binary")) % 4 != 2))
-    langs = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()]
+    usable = labelled.where(F.octet_length(text_col) <= doc_bytes).select(ident.alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    langs = [r[0] for r in usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()]
     if not langs:
         return None
-    ids: set[int] = set()
-    usable = labelled.where(F.octet_length(text_col) <= doc_bytes).select(ident.alias("i"), F.col(lang_col).alias("l"))
-    for lang in langs:
-        ids.update(r[0] for r in usable.where(F.col("l") == lang).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(per_lang).collect())
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "i long")  # at most max_langs * per_lang ids
-    sampled = labelled.where(F.octet_length(text_col) <= doc_bytes).select(F.col(lang_col).alias("l"), ident.alias("i"), F.col(text_col).alias("t"))
-    rows = sampled.join(F.broadcast(chosen), "i", "left_semi").select("l", "i", "t")
+    # One pass for all languages: a rank with a limit, which tasks cut before they send. At most max_langs * per_lang ids.
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    ids = [tuple(r) for r in usable.where(F.col("l").isin(langs)).select("i", "l").distinct().withColumn("n", rank).where(F.col("n") <= per_lang).select("i", "l").collect()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(ids), "i long, l string"))
+    rows = usable.join(chosen, ["i", "l"], "left_semi").groupBy("l", "i").agg(F.min("t").alias("t")).collect()  # one text for each chosen id
     samples: dict[str, list[list[str]]] = {}
-    seen: set[int] = set()
-    for lang, i, text in sorted(rows.limit(4 * max_langs * per_lang).collect(), key=lambda r: (r[1], r[0], r[2] or "")):
-        if i not in seen:  # one text for each chosen id
-            seen.add(i)
-            samples.setdefault(lang, []).append((text or "").split())
+    for lang, _, text in sorted(rows, key=lambda r: (r[1], r[0])):
+        samples.setdefault(lang, []).append((text or "").split())
     return train(samples, **how) if samples else None
 
 
+def labelled_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group: int = 400, **how) -> DataFrame:
+    """(doc_id, run, lang, first_word, end_word, posterior): the runs of one language in each text, in order."""
+    field = fit(docs, id_col, text_col, lang_col, **how)
+    parts = None if field is None else (field.langs, field.lexicon, field.weights.astype(np.float32), field.moves.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(Field(*shared.value)) if shared.value else None
+        for batch in batches:
+            for i in range(0, batch.num_rows if tagger else 0, group):
+                part = batch.slice(i, group)
+                found = tagger.runs(part.column(1).to_pylist())
+                rows = [(doc, k, *r) for doc, rs in zip(part.column(0).to_pylist(), found, strict=True) for k, r in enumerate(rs)]
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["doc_id", "run", "lang", "first_word", "end_word", "posterior"])
+
+    schema = "doc_id long, run long, lang string, first_word long, end_word long, posterior double"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group: int = 400, **how) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, n_letter_words, n_switches."""
     field = fit(docs, id_col, text_col, lang_col, **how)
