@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from turnlake.llm import langid, lm, pieces
 
@@ -34,6 +35,33 @@ def test_training_learns_switching_text():
     assert means[0].argmax() == 0 and means[1].argmax() == 1 and turns[2] == 1 and counts.tolist() == [4, 3, 8, 0, 0]
 
 
+def test_runs_of_code_switched_text():
+    a, b = [f"ka{i % 9}lo ma ri".split() for i in range(60)], [f"zu{i % 9}x the thor".split() for i in range(60)]
+    tagger = langid.Tagger(langid.train({"aa": a, "bb": b}, slots=1 << 12, length=16), span=4, around=2)
+    found = tagger.runs(["ma ri ma ri 12 the thor the thor ma ri kalo", None, "!!"])
+    assert [(r[0], r[1], r[2]) for r in found[0]] == [("aa", 0, 4), ("bb", 5, 9), ("aa", 9, 12)] and found[1:] == [[], []]
+    assert all(0.5 < r[3] <= 1 for r in found[0])
+
+
+def test_sequences_with_words_around_are_near_whole_texts():
+    rng = np.random.default_rng(2)
+    a, b = [f"ka{i % 9}lo ma ri".split() for i in range(60)], [f"zu{i % 9}x the thor".split() for i in range(60)]
+    field = langid.train({"aa": a, "bb": b}, slots=1 << 12, length=16)
+    text = " ".join(rng.choice("ma ri kalo the thor zux xx yy".split(), size=300))
+    whole, cut = (langid.Tagger(field, span=s).posteriors([text])[2] for s in (1000, 40))
+    assert np.abs(whole - cut).max() < 0.01
+
+
+def test_more_languages_than_a_machine_word_has_bits_and_very_few_words():
+    word = lambda k, end: f"{chr(97 + k // 9)}{chr(109 + k % 9)}{end}"
+    samples = {f"l{k:03d}": [[word(k, "a"), word(k, "b"), word(k, "a")] * 8] for k in range(70)}
+    field = langid.train(samples, slots=1 << 14, length=8, epochs=4)
+    means = langid.Tagger(field).tag([f"{word(k, 'a')} {word(k, 'b')}" for k in range(70)])[0]
+    assert np.mean([field.langs[m.argmax()] == f"l{k:03d}" for k, m in enumerate(means)]) > 0.9
+    few = langid.train({"aa": [["foo", "foo"]], "bb": [["bar", "bar"]]}, slots=1 << 10)
+    assert np.abs(few.weights).sum() > 0
+
+
 def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -75,45 +103,137 @@ def test_lm_base_and_held_out_gain(spark, data, how):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over known types and the one further type, in every context."""
-    texts = ["a b a b c", "a a b", "c c c a b b"]
-    blocks = list(lm.invert([1, 2, 3], [t.encode() for t in texts], 100, 1))
-    assert len(blocks) == 1
+def bucket_of(texts, ids=None, n_buckets=1, heavy=None):
+    """All restaurants of a few texts in one bucket, and what its fit is told."""
     import pyarrow as pa
 
-    table, sent = blocks[0]
-    rows = [(b, 0, len(table), *x, None) for b, *x in sent]
-    merged = lm.merge(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(lm.SENT)], schema=lm.SENT)).to_pylist()[0]
-    b = lm.Bucket(merged)
-    b.start()
-    served = np.bincount(b.ctx, b.counts, minlength=lm.CONTEXTS)
-    m = {"seed": 1, "types": float((b.word_counts > 0).sum()), "served": served, "theta": 1.0, "theta0": 1.0, "d": 0.5, "d0": 0.5}
-    for i in range(3):
-        b.sweep(i + 1, m, b.totals())
-    totals = b.totals()
-    prior = b.prior(m, totals)
-    new = (m["theta0"] + m["d0"] * totals[-1]) / (m["types"] + 1) / (m["theta0"] + totals[-2])
-    assert abs(prior.sum() + new - 1) < 1e-9
-    for u in np.unique(b.ctx):
-        back = (m["theta"] + m["d"] * totals[u]) / (m["theta"] + served[u])
-        seen = b.ctx == u
-        p = back * (prior.sum() + new) + ((b.counts - m["d"] * b.tables)[seen] / (m["theta"] + served[u])).sum()
-        assert abs(p - 1) < 1e-9
-
-
-def test_seating_matches_its_law():
+    heavy = heavy or lm.Heavy(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    (block,) = lm.blocks(ids or list(range(1, len(texts) + 1)), [t.encode() for t in texts], 10**6)
+    table = lambda rows, schema: pa.Table.from_batches([lm.batch_of(rows, schema)])
+    totals = lm.sum_words(table([r for r in lm.count_words(block, heavy, 1)], lm.COUNTED)).to_pylist()
+    stats = next(r for r in totals if r["bucket"] is None)
+    base = next(r for r in totals if r["bucket"] == 0)
+    rows = table([(b, 0, *x, None) for b, *x in lm.invert(block, heavy, 1)], lm.SENT).to_pydict()
+    m = {"types": stats["types"], "tokens": stats["tokens"], "discount": 0.4, "sweeps": 5, "burn": 2}
+    return lm.Bucket(rows, {"codes": np.frombuffer(base["codes"], np.uint64), "counts": np.frombuffer(base["counts"], np.int64)}, heavy), m
+
+
+TRAINED = [i for i in range(1, 400) if not lm.held_out(i)]
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over known types and the one further type, after every context."""
+    b, m = bucket_of(["a b a b c", "a a b", "c c c a b b"], TRAINED[:3])
+    b.start(m)
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        b.sweep(rng)
+        further = m["discount"] * m["types"] / (m["types"] + 1) / m["tokens"]
+        assert abs(b.root.sum() + further - 1) < 1e-9
+        back = (b.theta0 + b.d0 * b.parent_tables.sum()) / (b.theta0 + b.parent_counts.sum())
+        assert abs(b.prior().sum() + back * further - 1) < 1e-9
+        laid = b.laid()
+        for u in range(len(b.contexts)):
+            seen = b.ctx == u
+            rest = (b.theta + b.d * laid[u]) / (b.theta + b.served[u])
+            p = rest + ((b.counts - b.d * b.tables)[seen] / (b.theta + b.served[u])).sum()
+            assert abs(p - 1) < 1e-9 and b.served[u] == b.counts[seen].sum()
+
+
+def slow_seat(counts, prior, rest, d, theta, draws):
+    """Customer by customer; ``draws[n]`` has a number for each dish that more than n customers eat."""
+    tables = [min(c, 1) for c in counts]
+    for n in range(1, max(counts, default=0)):
+        eaters = [i for i, c in enumerate(counts) if c > n]
+        for i, u in zip(eaters, draws(len(eaters)), strict=True):
+            fresh = (theta + d * (rest[i] + tables[i])) * prior[i]
+            tables[i] += u < fresh / (fresh + n - d * tables[i])
+    return tables
+
+
+def test_scores_are_those_of_a_slow_sampler():
+    """Restaurants as dictionaries, over words rather than codes, with the same random numbers."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05], size=rng.integers(1, 25))) for _ in range(11)]
+    ids = list(range(1, 12))
+    b, m = bucket_of(texts, ids)
+    logs = b.fitted(m, np.random.default_rng(9))
+    got = {(int(b.contexts[u]), int(b.words[w])): x for u, w, x in zip(b.ctx, b.dish, logs, strict=True)}
+    code = lambda w: lm.END if w is None else xxhash.xxh64_intdigest(w)
+    counts, words, everything = Counter(), Counter(), []
+    for i, t in zip(ids, texts, strict=True):
+        before = None
+        for w in [*t.split(), None]:
+            pair = code(before), code(w)
+            everything.append(pair)
+            if not lm.held_out(i):
+                counts[pair] += 1
+                words[code(w)] += 1
+            before = w
+    pairs = sorted(set(everything))
+    names = sorted({w for _, w in pairs})
+    served = {u: sum(c for (v, _), c in counts.items() if v == u) for u, _ in pairs}
+    root = {w: (max(words[w] - 0.4, 0) + 0.4 * m["types"] / (m["types"] + 1)) / m["tokens"] for w in names}
+    rng = np.random.default_rng(9)
+    tables = {p: min(counts[p], 1) for p in pairs}
+    parent = {w: sum(t for (_, v), t in tables.items() if v == w) for w in names}
+    laid0 = {w: min(c, 1) for w, c in parent.items()}
+    d, d0 = lm.discount_of(np.array(list(counts.values()))), lm.discount_of(np.array(list(parent.values())))
+    theta = theta0 = 1.0
+    mean = dict.fromkeys(pairs, 0.0)
+    for sweep in range(m["sweeps"]):
+        prior = lambda w: (parent[w] - d0 * laid0[w] + (theta0 + d0 * sum(laid0.values())) * root[w]) / (theta0 + sum(parent.values()))  # noqa: E731, B023
+        laid = lambda u: sum(t for (v, _), t in tables.items() if v == u)  # noqa: E731, B023
+        made = slow_seat([counts[p] for p in pairs], [prior(w) for _, w in pairs], [laid(u) - tables[u, w] for u, w in pairs], d, theta, rng.random)
+        tables = dict(zip(pairs, made, strict=True))
+        parent = {w: sum(t for (_, v), t in tables.items() if v == w) for w in names}
+        made = slow_seat([parent[w] for w in names], [root[w] for w in names], [sum(laid0.values()) - laid0[w] for w in names], d0, theta0, rng.random)
+        laid0 = dict(zip(names, made, strict=True))
+        contexts = sorted(served)
+        theta = lm.draw_theta(theta, d, np.array([served[u] for u in contexts]), np.array([laid(u) for u in contexts]), rng)
+        theta0 = lm.draw_theta(theta0, d0, np.array([sum(parent.values())]), np.array([sum(laid0.values())]), rng)
+        if sweep >= m["burn"]:
+            for u, w in pairs:
+                mean[u, w] += (counts[u, w] - d * tables[u, w] + (theta + d * laid(u)) * prior(w)) / (theta + served[u])
+    assert max(*counts.values(), *parent.values()) < 32 and len(pairs) > 30
+    assert got.keys() == set(pairs)
+    assert all(abs(got[p] - math.log10(mean[p] / (m["sweeps"] - m["burn"]))) < 1e-9 for p in pairs)
+
+
+def test_seating_by_table_is_seating_by_customer():
+    """Drawing the next table's customer at once against drawing for each customer."""
     rng = np.random.default_rng(3)
-    n = 4000
-    got = lm.seat(np.full(n, 200.0), np.full(n, 0.3), np.zeros(n), 0.5, 1.0, rng)
-    slow = []
-    for _ in range(1500):
-        t = 1
-        for k in range(1, 200):
-            fresh = (1.0 + 0.5 * t) * 0.3
-            t += rng.random() < fresh / (fresh + k - 0.5 * t)
-        slow.append(t)
-    assert abs(got.mean() - np.mean(slow)) < 0.25 and got.min() >= 1
+    n, most = 6000, 400
+    at_once = lm.seat(np.full(n, most), np.full(n, 0.3), np.full(n, 2.0), 0.5, 1.0, rng, steps=1)
+    one_by_one = lm.seat(np.full(n, most), np.full(n, 0.3), np.full(n, 2.0), 0.5, 1.0, rng, steps=10**9)
+    assert abs(at_once.mean() - one_by_one.mean()) < 4 * (at_once.std() + one_by_one.std()) / n**0.5 and at_once.min() >= 1
+    assert np.abs(np.quantile(at_once, [0.1, 0.5, 0.9]) - np.quantile(one_by_one, [0.1, 0.5, 0.9])).max() <= 1
+    # The chance that nobody opens a table, as a product.
+    for seated, m, t, a in ((1, 50, 1, 0.7), (40, 90, 7, 3.2), (1000, 5000, 20, 0.01)):
+        product = np.prod([(j - 0.5 * t) / (j - 0.5 * t + a) for j in range(seated, m)])
+        x = lambda v: np.array([v - 0.5 * t])  # noqa: E731, B023
+        assert abs(np.exp(lm.log_rise(x(seated), np.array([a])) - lm.log_rise(x(m), np.array([a])))[0] - product) < 1e-9
+    huge = lm.seat(np.array([10**10]), np.array([0.001]), np.array([0.0]), 0.5, 1.0, rng)
+    assert 1 <= huge[0] < 10**7
+
+
+def test_heavy_contexts_are_dealt_by_word_and_lose_nothing():
+    texts = ["the " + " the ".join(f"w{i % 40}" for i in range(k, k + 60)) for k in range(30)]
+    (block,) = lm.blocks(TRAINED[:30], [t.encode() for t in texts], 10**6)
+    code = np.uint64(xxhash.xxh64_intdigest(b"the"))
+    heavy = lm.Heavy.dealt(np.array([code]), np.array([1800]), 600)
+    assert heavy.parts.tolist() == [12]
+    bucket = block.buckets(heavy, 8)
+    after_the = block.codes[block.contexts] == code
+    assert len(set(bucket[after_the].tolist())) > 4
+    for u in set(block.contexts[~after_the].tolist()):
+        assert len(set(bucket[block.contexts == u].tolist())) == 1
+    rows = list(lm.invert(block, heavy, 8))
+    assert sum(len(np.frombuffer(r[-1], np.uint16)) for r in rows) == len(block.numbers)
+    assert max(np.bincount(bucket)) < 0.6 * len(bucket)
+    big = block.buckets(heavy, 1 << 40)  # as many buckets as 100 TB and more would have
+    assert big.min() >= 0 and big.max() > 1 << 35
+    list(lm.invert(block, heavy, 1 << 40)), lm.count_words(block, heavy, 1 << 40)
 
 
 def test_lm_odd_rows(make, odd):

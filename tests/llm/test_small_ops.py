@@ -42,6 +42,14 @@ def test_many_buckets_and_written_shards(spark, make, tmp_path):
     assert back.count() == 400 and set(back.columns) == {"doc_id", "text", "lang", "shard", "slot"}
 
 
+def test_large_ids_beside_null_ones_and_tiny_texts(spark, make):
+    ids = [2**60 + 1, 2**60 + 3, None, None, -(2**62)]
+    rows = sharding.shard_digest(make([(i, "") for i in ids])).collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == sorted(i or 0 for i in ids)
+    tiny = make([(i, None) for i in range(3000)])
+    assert sharding.shuffled(tiny, bucket_bytes=20_000).select("bucket").distinct().count() > 5
+
+
 def test_fisher_yates_is_uniform():
     counts = np.zeros((4, 4))
     for s in range(4000):
@@ -88,13 +96,46 @@ def test_rules_on_odd_rows_and_without_labels(spark, make, odd):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, None), (9, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
     rows = quality.quality_rules(make(odd), labels).collect()
     assert len(rows) == len(odd) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 5, 9))
+    clash = labels.selectExpr("doc_id", "quality", "toxic", "'x' AS text", "1 AS score", "2 AS bucket")
+    assert sorted(map(str, quality.quality_rules(make(odd), clash).collect())) == sorted(map(str, rows))
     plain = quality.quality_rules(make(odd), labels.limit(0)).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in plain)
     assert quality.quality_rules(make([]), labels).collect() == []
 
 
-VALUES = ["4845168114407329", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "97.51.17.173", "+1 (663) 555-6869", "663-555-6869", "2024-02-29", "29/02/2024", "02/29/2024", "31.12.1999", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "Ann.34@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962"]
-NOT_VALUES = ["9807915762804490", "300.1.1.1", "2023-02-29", "000-12-1234", "DE89370400440532013001", "12345", "v1.2.3", "0000000000000000", "a1b2", "1.2.3.4.5"]
+def test_scores_and_verdicts_by_plain_counting(spark, make):
+    """The ratio, the threshold and every verdict, computed again with dictionaries."""
+    rng = np.random.default_rng(8)
+    good, bad = "river stone garden light".split(), "buy now cheap click".split()
+    say = lambda words, n: " ".join(f"{rng.choice(words)}{rng.integers(9)}" for _ in range(n))
+    rows = [(i, say(good if i % 2 else bad, int(rng.integers(8, 60)))) for i in range(120)]
+    rows += [(1, say(bad, 30)), (2, None)]  # an id of two texts
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(make(rows), labels, buckets=512).collect()
+    grams = lambda t: [int(x) for x in quality.ngram_buckets(t, 512, quality._Tokens())]
+    raw, target = np.zeros(512), np.zeros(512)
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i % 2 == 1 and i < 90
+    ratio = np.log((target + 1) / (target.sum() + 512)) - np.log((raw + 1) / (raw.sum() + 512))
+    score = lambda t: float(np.mean([ratio[g] for g in grams(t)])) if grams(t) else 0.0
+    sound = [(i, t) for i, t in rows if not quality.base_failed(*np.array(quality.base_counts(t))[[0, 4]])]
+    least = {}
+    for i, t in sound:
+        if i < 90:
+            least[i] = min(least.get(i, 9.9), score(t))
+    g, b = (sorted(s for i, s in least.items() if i % 2 == k) for k in (1, 0))
+    gain = {c: sum(x < c for x in b) / len(b) - sum(x < c for x in g) / len(g) for c in sorted(g + b)}
+    cut = min(max(gain, key=lambda c: (gain[c], -c)), g[int(0.02 * len(g))])
+    want = sorted((i, round(score(t), 9), (i, t) in sound and score(t) >= cut) for i, t in rows)
+    assert sorted((r["doc_id"], round(r["score"], 9), r["kept"]) for r in got) == want and any(k for *_, k in want)
+    verdict = quality.fit(make(rows), labels, buckets=512)
+    assert abs(verdict.threshold - cut) < 1e-12 and set(verdict.rates) == {f"rejected_{k}{n}" for k in ("trusted", "rejected") for n in ("", "_best_cut")}
+
+
+VALUES = ["4845168114407329", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "97.51.17.173", "+1 (663) 555-6869", "663-555-6869", "2024-02-29", "29/02/2024", "02/29/2024", "31.12.1999", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "Ann.34@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "+44 20 7946 0958", "+353 1 496 0123", "2001:db8:85a3::8a2e:370:7334", "иван.Петров@пример.рф", "山田@example.jp", "John.Smith@example.com"]
+NOT_VALUES = ["9807915762804490", "300.1.1.1", "2023-02-29", "000-12-1234", "DE89370400440532013001", "12345", "v1.2.3", "0000000000000000", "a1b2", "1.2.3.4.5", "12:30:45", "::1", "+99 12", "..@example.com"]
 
 
 @pytest.mark.parametrize("value", VALUES)
@@ -122,6 +163,63 @@ def test_links_between_writings_and_permutation():
     assert sorted(p.of("t", v, 1000) for v in range(1000)) == list(range(1000))
 
 
+def test_writings_of_one_date_and_one_address_are_linked():
+    w = pii.Pseudonyms(b"k")
+    say = lambda t: w.replaced(t)[0]
+    for iso, day, month in (("2024-05-13", "13/05/2024", "05/13/2024"), ("2021-11-30", "30.11.2021", "11-30-2021")):
+        y, m, d = say(iso).split("-")
+        assert say(day) == day[2].join((d, m, y)) and say(month) == month[2].join((m, d, y)) and int(d) > 12
+    assert int(say("2024-05-07")[-2:]) <= 12
+    assert say("John@ex.org").lower() == say("john@ex.org") and say("John@ex.org")[0].isupper()
+
+
+def test_long_and_foreign_local_parts():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for local in ("a" * 250, "x1" * 5000, "иван", "μαρία", "山田太郎", "Ünal", "a.b-c+d"):
+        made, counts = there.replaced(f"{local}@example.com")
+        assert counts == {"email": 1} and local not in made and len(made) == len(local) + 12
+        assert back.replaced(made)[0] == f"{local}@example.com"
+
+
+def test_pii_by_a_plain_finder(spark, data):
+    """Which values the operator finds in the documents, against a finder that tries every token on its own."""
+    import re as r
+
+    def plain(text):
+        n = {"email": 0, "ip": 0, "ssn": 0, "card": 0}
+        for token in (text or "").split():
+            token = token.strip(".,;:!?()[]<>\"'")
+            if r.fullmatch(r"[A-Za-z0-9_.%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}", token):
+                n["email"] += 1
+            elif r.fullmatch(r"\d+\.\d+\.\d+\.\d+", token) and all(int(x) < 256 and str(int(x)) == x for x in token.split(".")):
+                n["ip"] += 1
+            elif (m := r.fullmatch(r"(\d{3})-(\d\d)-(\d{4})", token)) and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+                n["ssn"] += 1
+            elif r.fullmatch(r"\d{13,19}", token) and pii.luhn_digit(token[:-1]) == token[-1] and len(set(token)) > 1:
+                n["card"] += 1
+        return n
+
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    total = 0
+    for x in pii.report(docs).collect():
+        want = plain(texts[x["doc_id"]])
+        total += sum(want.values())
+        assert all(x[f"n_{k}"] >= n for k, n in want.items()), x["doc_id"]
+    assert total > 0
+
+
+def test_pii_key_of_the_session(spark, make):
+    docs = make([(1, "call 663-555-6869")])
+    plain = pii.pseudonymized(docs).first()["text"]
+    spark.conf.set("spark.turnlake.pii.key", "another")
+    try:
+        keyed = pii.pseudonymized(docs)
+        assert keyed.first()["text"] != plain and pii.reveal(keyed).first()["text"] == "call 663-555-6869"
+    finally:
+        spark.conf.unset("spark.turnlake.pii.key")
+
+
 def test_pii_rows(make, odd):
     docs = make([*odd, (20, "call 663-555-6869")])
     out = pii.pseudonymized(docs)
@@ -150,6 +248,82 @@ def test_warc_derivatives(spark):
     assert body == "One two\nthree\nl"
     facts = warc.headers(bytes(meta["record"]).partition(b"\r\n\r\n")[2])
     assert ("title", "A & B") in facts and ("outlink", "/x?a=1&b=2") in facts and ("language", "fr") in facts and ("http-header-content-type", "text/html; charset=utf-8") in facts
+    got = {(r["page_id"], r["warc_type"]): bytes(r["record"]) for r in rows}
+    assert len(got) == 6
     broken = warc.derived(b"garbage")
     assert broken[1]["content_length"] == 0 and b"parse-error" in broken[0]["record"]
     assert warc.derivatives(warc.responses(pages.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("piece", ["<noscript>", "<a", "<!--", "<script>", "<title>", "<html ", "<template><p>", "<", "</", "<a href='", "&lt;<b>"])
+def test_long_pages_take_time_by_their_length(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    warc.Page(page)
+    assert time.process_time() - began < 6
+    assert warc.Page(f"a{piece}").text.startswith("a")
+
+
+def test_codings_and_header_cases():
+    import gzip
+
+    body = "<p>zipped é</p>".encode()
+    packed = gzip.compress(body)
+    chunked = b"%x\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+
+    def made(payload, *more):
+        block = b"HTTP/1.1 200 OK\r\nCONTENT-TYPE: text/html; charset=utf-8\r\n" + b"".join(m + b"\r\n" for m in more) + b"\r\n" + payload
+        return b"WARC/1.0\r\nwarc-type: response\r\nwarc-record-id: <urn:uuid:1>\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+
+    plain = made(body)
+    for raw, payload in ((plain, body), (gzip.compress(plain), body), (made(packed, b"content-encoding: gzip"), packed), (made(chunked, b"Content-Encoding: gzip", b"Transfer-Encoding: chunked"), chunked)):
+        meta, conv = warc.derived(raw)
+        assert conv["record"].endswith("zipped é\r\n\r\n".encode()) and meta["source_digest"] == warc.digest(payload) and meta["refers_to"] == "<urn:uuid:1>"
+    assert b"unknown content coding" in warc.derived(made(b"??", b"content-encoding: br"))[0]["record"]
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    records = [warc.response(i, f"http://e.org/{i}", f"<p>page {i}</p>".encode() + b"\r\n\r\nx" * i, "2026-01-01T00:00:00Z") for i in range(4)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:2]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, [*records[2:], warc.record([("WARC-Type", "warcinfo")], b"i")])))
+    found = warc.records(spark, str(tmp_path))
+    assert sorted(bytes(r["record"]).rstrip() for r in found.collect()) == sorted(r.rstrip() for r in records)
+    assert warc.derivatives(found).count() == 8
+
+
+def test_warc_links_and_digests_by_other_means(spark, data):
+    """Every derived record against the page itself, with Python's own HTML parser for the links."""
+    import base64
+    import hashlib
+    from html.parser import HTMLParser
+
+    class Links(HTMLParser):
+        def __init__(self, text):
+            super().__init__()
+            self.found, self.hidden = [], 0
+            self.feed(text)
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in warc.HIDDEN
+            if tag == "a" and not self.hidden and dict(attrs).get("href"):
+                self.found.append(dict(attrs)["href"])
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in warc.HIDDEN and self.hidden > 0
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    html = {r["page_id"]: (r["html"] or "", r["url"]) for r in pages.collect()}
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len(rows) == 2 * len(html)
+    same = 0
+    for r in rows:
+        page, url = html[r["page_id"]]
+        assert r["target_uri"] == url and r["source_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
+        if r["warc_type"] == "metadata":
+            links = [v for k, v in warc.headers(bytes(r["record"]).partition(b"\r\n\r\n")[2]) if k == "outlink"]
+            same += links == [" ".join(x.split("\n")) for x in Links(page).found]
+    assert same >= 0.95 * len(html)
