@@ -12,9 +12,10 @@ training tokens, over the known types and one more. With one bucket this is the
    its number of customers is known (it is the word's count), its tables are taken as those of a part times the parts.
 4. A bucket has all its restaurants in one place. A Gibbs sweep reseats the customers of each dish one after another given
    everything else: the next one opens a table with probability a / (a + n - d t), a = (theta + d T) P_parent, n being
-   seated at t tables. Then the parent's customers are reseated likewise, and the strengths theta are drawn. For large
+   seated at t tables. Then the parent's customers are reseated likewise, and the strengths theta are drawn. Customers of
+   many dishes decide side by side until no decision changes (``seat_run``), which is the same sequence; for very large
    dishes the customer who opens the next table is drawn at once, by inverting the chance that none does before
-   (``next_table``): the same law, in a step for each table instead of each customer.
+   (``next_table``), which is the same law.
 5. Predictive probabilities are averaged over the sweeps after ``burn``; each bucket adds up its share of the documents'
    log-probabilities and sends it to their blocks.
 
@@ -243,27 +244,53 @@ def next_table(n: np.ndarray, most: np.ndarray, t: np.ndarray, a: np.ndarray, di
     return high
 
 
-def seat(counts: np.ndarray, prior: np.ndarray, rest: np.ndarray, discount: float, theta: float, rng: np.random.Generator, steps: int = 32) -> np.ndarray:
-    """Tables of dishes with ``counts`` customers each, seated one after another; ``rest``: other tables of the restaurant."""
-    tables = np.minimum(counts, 1).astype(np.float64)
+def seat_run(seated: np.ndarray, more: np.ndarray, tables: np.ndarray, strength: np.ndarray, prior: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """Tables after ``more`` further customers at each dish, one after another; ``u`` has a number for each of them.
+
+    Whether a customer opens a table depends on how many were opened before. Starting from none, all customers decide at
+    once, again and again, until no decision changes; as each depends on earlier ones only, that is the one sequence that
+    seating them one by one gives.
+    """
+    dish = np.repeat(np.arange(len(more)), more)
+    first = np.cumsum(more) - more
+    n = (seated - first)[dish] + np.arange(len(dish))
+    strength, prior, start = strength[dish], prior[dish], tables[dish]
+    t = start
+    while True:
+        fresh = (strength + discount * t) * prior
+        opened = u * (fresh + n - discount * t) < fresh
+        before = np.cumsum(opened) - opened
+        now = start + (before - before[first][dish])
+        if np.array_equal(now, t):
+            return tables + np.add.reduceat(opened.astype(np.int64), first)
+        t = now
+
+
+def seat(counts: np.ndarray, prior: np.ndarray, rest: np.ndarray, discount: float, theta: float, rng: np.random.Generator, run: int = 1 << 20) -> np.ndarray:
+    """Tables of dishes with ``counts`` customers each, seated one after another; ``rest``: other tables of the restaurant.
+
+    Dishes are taken together in runs of about ``run`` customers. What is left of a larger dish goes by further runs, or by
+    the customers who open its next tables where those are few.
+    """
+    counts, tables = counts.astype(np.int64), np.minimum(counts, 1).astype(np.float64)
+    strength = theta + discount * rest
     live = np.flatnonzero(counts > 1)
-    n = 1
-    while len(live) and n < steps:
-        t = tables[live]
-        fresh = (theta + discount * (rest[live] + t)) * prior[live]
-        tables[live] += rng.random(len(live)) < fresh / (fresh + n - discount * t)
-        n += 1
-        live = live[counts[live] > n]
-    seated = np.full(len(live), n, np.int64)
-    while len(live):
-        t = tables[live]
-        fresh = (theta + discount * (rest[live] + t)) * prior[live]
-        seated = next_table(seated, counts[live], t, fresh, discount, 1 - rng.random(len(live)))
-        opened = seated <= counts[live]
-        live, seated = live[opened], seated[opened]
-        tables[live] += 1
-        more = seated < counts[live]
-        live, seated = live[more], seated[more]
+    more = np.minimum(counts[live] - 1, run)
+    group = (np.cumsum(more) - 1) // run
+    for _, a, z in slices(group):
+        at = live[a:z]
+        tables[at] = seat_run(np.ones(z - a, np.int64), more[a:z], tables[at], strength[at], prior[at], discount, rng.random(int(more[a:z].sum())))
+    for i in live[counts[live] - 1 > run].tolist():
+        n, one = run + 1, slice(i, i + 1)
+        while n < counts[i]:
+            fresh = (strength[i] + discount * tables[i]) * prior[i]
+            if fresh * np.log(counts[i] / n) * 20_000 < counts[i] - n:  # a table costs as much as so many customers
+                n = int(next_table(np.array([n]), counts[one], tables[one], np.array([fresh]), discount, 1 - rng.random(1))[0])
+                tables[i] += n <= counts[i]
+            else:
+                k = int(min(run, counts[i] - n))
+                tables[one] = seat_run(np.array([n]), np.array([k]), tables[one], strength[one], prior[one], discount, rng.random(k))
+                n += k
     return tables
 
 
