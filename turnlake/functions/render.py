@@ -9,6 +9,8 @@ import re
 SNIPPET = 140
 EDGE = 16
 MAX_BYTES = 65_536
+#: First line of every answer in text, by which a recorded answer is known again.
+OWN_MARK = "[turnlake answer]"
 
 
 class OutputTooLarge(RuntimeError):
@@ -80,6 +82,26 @@ def ago(at: datetime.datetime | None, now: datetime.datetime) -> str:
     return "today" if days < 1 else "yesterday" if days == 1 else f"{days} days ago"
 
 
+def stamp(ts: str | datetime.datetime | None) -> str:
+    """A time in full, in UTC; what isn't one is undated."""
+    if isinstance(ts, str):
+        try:
+            ts = datetime.datetime.fromisoformat(ts)
+        except ValueError:
+            return "undated"
+    if ts is None:
+        return "undated"
+    return (ts.astimezone(datetime.UTC) if ts.tzinfo else ts).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+#: Colours by what is shown; sizes are measured without them.
+PALETTE = {"handle": "36", "key": "1", "match": "33", "note": "2"}
+
+
+def coloured(text: str, kind: str, on: bool = True) -> str:
+    return f"\x1b[{PALETTE[kind]}m{text}\x1b[0m" if on else text
+
+
 def day(at: datetime.datetime | None) -> str:
     return at.strftime("%Y-%m-%d") if at else "undated"
 

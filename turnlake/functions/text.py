@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 WORD_BYTE = r"[a-z0-9\x{80}-\x{10ffff}]"
+RUN = 256
 SEGMENT_EDGE = r"^([a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[0-9][A-Za-z]|[A-Za-z][0-9])"
 
 
@@ -43,28 +44,46 @@ def carries_word(folded: Column, needle: str) -> Column:
     return F.rlike(folded, F.lit(rf"(?<![{before}\x{{80}}-\x{{10ffff}}]){java_quote(needle)}(?![{after}\x{{80}}-\x{{10ffff}}])"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(raw: Column, folded: Column, needle: str, word_only: bool = False) -> Column:
-    """All non-overlapping occurrences of a needle, from the left: array of (offset, length in bytes, match)."""
-    size, width = len(needle), len(needle.encode())
-    parts = F.split(folded, java_quote(needle), -1)
-
-    def step(state: Column, i: Column) -> Column:
-        before, after = F.element_at(parts, i), F.element_at(parts, i + 1)
-        at = state["at"] + F.length(before)  # characters before this occurrence
-        offset = state["offset"] + F.octet_length(before)
-        prev = F.when(before != "", F.right(before, F.lit(1))).when(i == 1, F.lit("")).otherwise(F.lit(needle[-1]))
-        follow = F.when(after != "", F.left(after, F.lit(1))).when(i == F.size(parts) - 1, F.lit("")).otherwise(F.lit(needle[0]))
-        edge = lambda p: (p > 0) & F.rlike(F.substring(raw, F.greatest(p, F.lit(1)), F.lit(3)), F.lit(SEGMENT_EDGE))
-        lead = ~F.rlike(prev, F.lit(WORD_BYTE)) | edge(at)
-        trail = ~F.rlike(follow, F.lit(WORD_BYTE)) | edge(at + size)
-        kind = F.when(lead & trail, "word").when(lead, "prefix").otherwise("inside")
-        one = F.array(F.struct(offset.cast("int").alias("offset"), F.lit(width).alias("length"), kind.alias("match")))
-        found = F.when(kind == "word", F.concat(state["found"], one)).otherwise(state["found"]) if word_only else F.concat(state["found"], one)
-        return F.struct((at + size).alias("at"), (offset + width).alias("offset"), found.alias("found"))
+    """All non-overlapping occurrences of a needle, from the left: array of (offset, length in bytes, match).
 
+    The text is split once, and offsets are a running sum over its parts. Occurrences are gathered in runs of ``RUN``,
+    so that no step copies all of those before it.
+    """
+    width = len(needle.encode())
     none = F.array().cast("array<struct<offset:int,length:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("offset"), none.alias("found"))
-    return F.when(F.size(parts) > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), start, step, lambda s: s["found"])).otherwise(none)
+
+    def body(v: Column) -> Column:
+        parts, data = v["parts"], v["data"]
+        last = F.size(parts) - 1
+
+        def step(state: Column, i: Column) -> Column:
+            before, after = F.element_at(parts, i), F.element_at(parts, i + 1)
+            offset = state["offset"] + F.octet_length(before)
+            prev = F.when(before != "", F.right(before, F.lit(1))).when(i == 1, F.lit("")).otherwise(F.lit(needle[-1]))
+            follow = F.when(after != "", F.left(after, F.lit(1))).when(i == last, F.lit("")).otherwise(F.lit(needle[0]))
+            # Bytes do: the edge of a segment lies between ASCII characters, and bytes are found without a scan.
+            edge = lambda p: (p > 0) & F.rlike(F.substring(data, F.greatest(p, F.lit(1)), F.lit(3)).cast("string"), F.lit(SEGMENT_EDGE))
+            lead = ~F.rlike(prev, F.lit(WORD_BYTE)) | edge(offset)
+            trail = ~F.rlike(follow, F.lit(WORD_BYTE)) | edge(offset + width)
+            kind = F.when(lead & trail, "word").when(lead, "prefix").otherwise("inside")
+            one = F.array(F.struct(offset.cast("int").alias("offset"), F.lit(width).alias("length"), kind.alias("match")))
+            found = F.when(kind == "word", F.concat(state["found"], one)).otherwise(state["found"]) if word_only else F.concat(state["found"], one)
+            return F.struct((offset + width).alias("offset"), found.alias("found"))
+
+        def run(state: Column, first: Column) -> Column:
+            inside = F.aggregate(F.sequence(first, F.least(first + (RUN - 1), last)), F.struct(state["offset"].alias("offset"), none.alias("found")), step)
+            return let(inside, lambda r: F.struct(r["offset"].alias("offset"), F.concat(state["found"], r["found"]).alias("found")))
+
+        return F.aggregate(F.sequence(F.lit(1), last, F.lit(RUN)), F.struct(F.lit(0).alias("offset"), none.alias("found")), run, lambda s: s["found"])
+
+    split = F.struct(F.split(folded, java_quote(needle), -1).alias("parts"), raw.cast("binary").alias("data"))
+    return F.when(F.contains(folded, F.lit(needle)), let(split, body)).otherwise(none)
 
 
 def parse_ts(ts: Column) -> Column:
@@ -111,6 +130,3 @@ def remote_id(raw: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"\.git$", ""), "^/+|/+$", "")
     return F.lower(F.concat(host, F.when((host != "") & (path != ""), "/").otherwise(""), path))
 
-
-def one_of(column: Column, words: str) -> Column:
-    return column.isin(*re.split(r"\s+", words))

@@ -70,7 +70,10 @@ class Relaxed:
 
 
 def hits(found: DataFrame, q: CompiledQuery) -> DataFrame:
-    """One row for each occurrence of each needle of the terms a turn carries; equal spans count once."""
+    """One row for each occurrence of each needle of the terms a turn carries; equal spans count once.
+
+    A hit doesn't carry its turn's text but the text's digest and size; ``texts`` puts it back beside the few rows shown.
+    """
     empty = F.array().cast("array<struct<offset:int,length:int,match:string>>")
     lists = []
     for i, t in enumerate(q.terms):
@@ -78,13 +81,24 @@ def hits(found: DataFrame, q: CompiledQuery) -> DataFrame:
         lists.append(F.when(F.col("carried")[i], F.concat(*[X.spans(F.col("text"), F.col("folded"), n, w) for n, w in own])).otherwise(empty))
     if not lists:
         lists = [empty]
-    once = F.array_sort(F.array_distinct(F.concat(*lists)))
-    return found.withColumn("span", F.explode(once)).select("session", "uuid", "ts", "tier", "author", "agent", "repo", "branch", "span.offset", "span.length", "span.match", F.col("found").alias("terms"), "text")
+    once = lists[0] if len(q.terms) == 1 and not q.terms[0].synonyms and not q.terms[0].substitutes else F.array_sort(F.array_distinct(F.concat(*lists)))
+    thin = found.select("session", "uuid", "ts", "tier", "author", "agent", "repo", "branch", "found", digest().alias("digest"), F.octet_length("text").alias("nbytes"), once.alias("spans"))
+    return thin.withColumn("span", F.explode("spans")).select("session", "uuid", "ts", "tier", "author", "agent", "repo", "branch", "span.offset", "span.length", "span.match", F.col("found").alias("terms"), "digest", "nbytes")
+
+
+def digest() -> Column:
+    return F.md5(F.col("text"))
 
 
 def dedup(found: DataFrame) -> DataFrame:
-    """One hit for each (session, uuid, tier, offset, length, text)."""
-    return found.dropDuplicates(["session", "uuid", "tier", "offset", "length", "text"])
+    """One hit for each (session, uuid, tier, offset, length, text), the text by its digest."""
+    return found.dropDuplicates(["session", "uuid", "tier", "offset", "length", "digest"])
+
+
+def texts(rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """``rows`` (few: those an answer shows) with the text of their turns."""
+    of = turns.select("session", "uuid", "tier", digest().alias("digest"), "text").dropDuplicates(["session", "uuid", "tier", "digest"])
+    return rows.join(of, ["session", "uuid", "tier", "digest"])
 
 
 def work(turns: DataFrame, q: CompiledQuery) -> DataFrame:

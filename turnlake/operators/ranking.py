@@ -17,7 +17,7 @@ def kind_rank(match: Column) -> Column:
 def collapse(hits: DataFrame) -> DataFrame:
     """One row for each matched turn: how often it matched, its best hit, and that hit's signal."""
     order = F.struct(kind_rank(F.col("match")), -F.col("offset"), -F.col("length"), F.col("author"), F.col("ts"))
-    best = F.max(F.struct(order.alias("o"), F.struct("offset", "length", "match", "terms", "author", "agent", "ts", "repo", "branch", F.octet_length("text").alias("nbytes"), "text").alias("h")))
+    best = F.max(F.struct(order.alias("o"), F.struct("offset", "length", "match", "terms", "author", "agent", "ts", "repo", "branch", "nbytes", "digest").alias("h")))
     out = hits.groupBy(*TURN_KEY).agg(F.count("*").alias("occurrences"), best.alias("b")).select(*TURN_KEY, "occurrences", "b.h.*")
     return out.withColumn("signal", X.signal(F.col("terms"), F.col("author"), F.col("match"), F.col("nbytes"))).drop("nbytes")
 
@@ -88,7 +88,11 @@ def facets(hits: DataFrame) -> DataFrame:
 def passages(matched: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     """The k best matched turns of all sessions."""
     joined = matched.join(ranked.select("session", F.col("score").alias("session_score")), "session")
-    return joined.orderBy(F.desc("signal"), F.desc("occurrences"), F.desc("session_score"), F.desc("ts"), "session", "uuid", "tier").limit(k)
+    return joined.orderBy(*passage_order()).limit(k)
+
+
+def passage_order() -> list[Column]:
+    return [F.desc("signal"), F.desc("occurrences"), F.desc("session_score"), F.desc("ts"), F.asc("session"), F.asc("uuid"), F.asc("tier")]
 
 
 def months(hits: DataFrame) -> DataFrame:

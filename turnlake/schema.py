@@ -10,7 +10,6 @@ TIER_RANK = {t: i for i, t in enumerate(TIERS)}
 _S = T.StringType()
 TURN = T.StructType([T.StructField(c, _S) for c in ("session", "uuid", "ts", "tier", "author", "agent", "origin", "repo", "branch", "cwd", "text")] + [T.StructField("seq", T.IntegerType())])
 TURN_COLUMNS = TURN.names
-HIT_COLUMNS = ["session", "uuid", "ts", "tier", "author", "agent", "repo", "branch", "offset", "length", "match", "terms", "text"]
 
 # Scoring.
 SHRINKAGE = 20
@@ -18,7 +17,6 @@ TURN_SCALE = 4000
 SYSTEM_WEIGHT = 0.25
 INSIDE_WEIGHT = 0.30
 PREFIX_WEIGHT = 0.85
-KIND_RANK = {"word": 2, "prefix": 1, "inside": 0}
 
 # Query compilation.
 MIN_STEM = 4
