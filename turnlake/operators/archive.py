@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import parse_ts
+from ..plans.errors import UsageError
 from ..sources import decode, repos, transcripts
 
 STATE = "path string, size long, mtime timestamp, mark long, oldest timestamp"
@@ -54,10 +55,13 @@ def collapsed(turns: DataFrame) -> int:
 
 
 def new_records(turns: DataFrame, archived: DataFrame | None) -> DataFrame:
+    """Turns that aren't archived: by session and uuid; those without a uuid by all they hold."""
     if archived is None:
         return turns
-    keys = archived.where("uuid <> ''").select("session", "uuid").distinct()
-    return turns.where("uuid <> ''").join(keys, ["session", "uuid"], "left_anti").select(*turns.columns).unionByName(turns.where("uuid = ''"))
+    named = turns.where("uuid <> ''").join(archived.where("uuid <> ''").select("session", "uuid"), ["session", "uuid"], "left_anti")
+    held = archived.where("uuid = ''").select(*S.TURN_COLUMNS)
+    plain = turns.where("uuid = ''").join(held, S.TURN_COLUMNS, "left_anti")
+    return named.select(*turns.columns).unionByName(plain.select(*turns.columns))
 
 
 def distinct_rows(turns: DataFrame) -> DataFrame:
@@ -82,19 +86,40 @@ def skew(state: DataFrame) -> DataFrame:
 
 def widen(parts: DataFrame) -> DataFrame:
     """Coverage of several stores as one: outer bounds, sums, and the widest skew."""
-    return parts.agg(F.min("content_from").alias("content_from"), F.max("content_to").alias("content_to"), F.sum("turns").alias("turns"), F.sum("sessions").alias("sessions"), F.max("skew_seconds").alias("skew_seconds"))
+    first, last = (lambda c: F.min(c).alias(c)), (lambda c: F.max(c).alias(c))
+    return parts.agg(first("content_from"), last("content_to"), F.sum("turns").alias("turns"), F.sum("sessions").alias("sessions"), first("live_from"), F.sum("live_files").alias("live_files"), last("skew_days"))
+
+
+COVERAGE = "content_from timestamp, content_to timestamp, turns long, sessions long, live_from timestamp, live_files long, skew_days long"
+
+
+def widened(stores: list[dict]) -> dict:
+    """``widen`` of the coverage of a few stores."""
+    if len(stores) == 1:
+        return stores[0]
+    spark = SparkSession.active()
+    names = [c.split()[0] for c in COVERAGE.split(", ")]
+    return widen(spark.createDataFrame([tuple(s[n] for n in names) for s in stores], COVERAGE)).first().asDict()
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, sha256) of the data files in a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    """(path, size, sha256) of the data files in a folder that can be read."""
+    found = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
     return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, turns) of the data files in a folder that can be read."""
+    held = spark.read.option("ignoreCorruptFiles", "true").schema(S.TURN).parquet(folder)
+    return held.groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("turns"))
+
+
 def problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(path, problem) where files are missing, unknown, or not as they were written."""
     joined = expected.alias("e").join(actual.alias("a"), F.col("e.path") == F.col("a.path"), "full_outer")
     what = F.when(F.col("a.path").isNull(), "missing").when(F.col("e.path").isNull(), "unknown").when(F.col("a.size") != F.col("e.size"), "size").when(F.col("a.sha256") != F.col("e.sha256"), "checksum")
+    if "turns" in expected.columns and "turns" in actual.columns:
+        what = what.when(~F.col("a.turns").eqNullSafe(F.col("e.turns")), "turns")
     return joined.select(F.coalesce("e.path", "a.path").alias("path"), what.alias("problem")).where("problem IS NOT NULL")
 
 
@@ -151,66 +176,114 @@ class Archive:
         rename[0] = options.OVERWRITE
         context.rename(fresh, old, rename)
 
-    def turns(self, *tiers: str) -> DataFrame | None:
-        """The archived turns; with tiers named only their partitions are read."""
+    def turns(self, *tiers: str, lenient: bool = False) -> DataFrame | None:
+        """The archived turns; with tiers named only their partitions are read. ``lenient``: what is left of damaged files."""
         batches = self.pointer().get("batches", [])
         if not batches:
             return None
-        found = self.spark.read.option("basePath", f"{self.folder}/turns").schema(S.TURN).parquet(*[f"{self.folder}/turns/batch={b}" for b in batches])
-        found = found.select(*S.TURN_COLUMNS)
+        reader = self.spark.read.option("basePath", f"{self.folder}/turns").schema(S.TURN)
+        if lenient:
+            reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        found = reader.parquet(*[f"{self.folder}/turns/batch={b}" for b in batches]).select(*S.TURN_COLUMNS)
         return found.where(F.col("tier").isin(*tiers)) if tiers else found
 
     def state(self) -> DataFrame:
         now = self.pointer().get("state")
         return self.spark.read.schema(STATE).parquet(f"{self.folder}/state/{now}") if now else self.spark.createDataFrame([], STATE)
 
+    def _write(self, turns: DataFrame, batch: str) -> int:
+        """Write a batch and its manifest; how many turns it holds."""
+        path = f"{self.folder}/turns/batch={batch}"
+        # Rebalanced by tier: large tiers are split over tasks, small ones merged into one file.
+        turns.hint("rebalance", "tier").sortWithinPartitions("tier", *[c for c in total_order() if c != "tier"]).write.partitionBy("tier").parquet(path)
+        counts = row_counts(self.spark, path)
+        files = manifest(self.spark, path)
+        name = lambda c: F.substring_index(c, "/turns/", -1)  # noqa: E731  the two readers spell a path's scheme differently
+        held = files.join(counts.select(name(F.col("path")).alias("of"), "turns"), name(F.col("path")) == F.col("of"), "left")
+        held.select("path", "size", "sha256", F.coalesce("turns", F.lit(0)).alias("turns")).write.parquet(f"{self.folder}/manifest/{batch}")
+        return int(self.spark.read.parquet(f"{self.folder}/manifest/{batch}").agg(F.sum("turns")).first()[0] or 0)
+
     def update(self, root: str, provider: str = "claude-code", resolver: Callable[[str], str] | None = repos.resolve, force: bool = False) -> Update:
-        """Read what is new under a root. Nothing new: nothing is written."""
+        """Read what is new under a root; nothing new: nothing is written.
+
+        With ``force`` every transcript is read again. What is archived stays, also of transcripts that are gone; it is
+        written anew with what was found, as one batch, so that damaged files are left behind.
+        """
         if provider not in decode.PROVIDERS:
-            raise LookupError(f"unknown agent {provider!r}")
+            raise UsageError(f"unknown agent {provider!r}")
         fits: Callable[[Column], Column] = transcripts.is_codex if provider == "codex" else transcripts.is_claude
-        found = transcripts.files(self.spark, root).where(fits(F.col("path")))
-        state = self.spark.createDataFrame([], STATE) if force else self.state()
-        plan = ingest_plan(found, state).persist()
+        found = transcripts.files(self.spark, root).where(fits(F.col("path"))).drop("content")
+        state = self.state()
+        plan = ingest_plan(found, self.spark.createDataFrame([], STATE) if force else state).persist()
         todo = plan.where("action <> 'skip'")
-        files = todo.count()
+        # The names of changed files come to the driver, which has listed all of them to plan the scan.
+        changed = {r["path"]: r["start"] for r in todo.select("path", "start").collect()}
         gone = state.join(plan, "path", "left_anti").count()
-        if not files and not gone:
+        if not changed and not gone and not force:
             plan.unpersist()
             return Update(False)
         # A resumed file of the second provider starts over, so that its identity is known; deduplication absorbs it.
-        start = F.col("start") if provider != "codex" else F.lit(0)
-        read = transcripts.lines(found.join(todo.select("path", "start"), "path"), start).persist()
+        opened = transcripts.opened(self.spark, sorted(changed)).join(todo.select("path", "start"), "path")
+        read = transcripts.lines(opened, F.col("start") if provider != "codex" else F.lit(0)).persist()
         turns = decode.PROVIDERS[provider](read)
-        turns = repos.with_repos(turns, resolver) if resolver else turns
+        turns = (repos.with_repos(turns, resolver) if resolver else turns).persist()
         twice = collapsed(turns)
-        archived = None if force else self.turns()
+        archived = self.turns(lenient=force)
         fresh = distinct_rows(new_records(first_records(turns), archived).select(*S.TURN_COLUMNS))
         batch = uuid.uuid4().hex
-        path = f"{self.folder}/turns/batch={batch}"
-        # Rebalanced by tier: large tiers are split over tasks, small ones merged into one file.
-        fresh.hint("rebalance", "tier").sortWithinPartitions("tier", *[c for c in total_order() if c != "tier"]).write.partitionBy("tier").parquet(path)
-        marks = transcripts.marks(found.join(todo.select("path"), "path", "left_semi"), read)
+        if force and archived is not None:
+            fresh = archived.unionByName(fresh)
+        written = self._write(fresh, batch)
+        marks = transcripts.marks(todo.select("path", "size"), read)
         oldest = turns.groupBy("path").agg(F.min(parse_ts(F.col("ts"))).alias("oldest"))
         before = state.select("path", F.col("mark").alias("mark0"), F.col("oldest").alias("oldest0"))
         after = plan.select("path", "size", "mtime").join(marks, "path", "left").join(oldest, "path", "left").join(before, "path", "left")
         after.select("path", "size", "mtime", F.coalesce("mark", "mark0").alias("mark"), F.least("oldest", "oldest0").alias("oldest")).write.parquet(f"{self.folder}/state/{batch}")
-        written = self.spark.read.schema(S.TURN).parquet(path).count() if files else 0
-        manifest(self.spark, path).write.parquet(f"{self.folder}/manifest/{batch}")
         batches = ([] if force else self.pointer().get("batches", [])) + [batch]
         self._swap({"format": FORMAT, "state": batch, "batches": batches})
-        for df in (plan, read):
+        for df in (plan, read, turns):
             df.unpersist()
-        return Update(True, files, twice, written)
+        return Update(True, len(changed), twice, written)
+
+    def compact(self, most: int = 8) -> bool:
+        """Write the batches as one where there are more than ``most``; readers of the old ones aren't disturbed."""
+        now = self.pointer()
+        if len(now.get("batches", [])) <= most:
+            return False
+        batch = uuid.uuid4().hex
+        self._write(self.turns(), batch)
+        self._swap({**now, "batches": [batch]})
+        return True
 
     def verify(self) -> list[tuple[str, str]]:
-        """(path, problem) of data files that aren't as they were committed."""
+        """(path, problem) of all data files that aren't as they were committed, and of a state or manifest that is gone."""
         out: list[tuple[str, str]] = []
-        for batch in self.pointer().get("batches", []):
+        now = self.pointer()
+        if now:
+            out += self._unreadable(f"state/{now['state']}", STATE)
+        for batch in now.get("batches", []):
+            folder = f"{self.folder}/turns/batch={batch}"
+            if bad := self._unreadable(f"manifest/{batch}", "path string, size long, sha256 string, turns long"):
+                out += bad
+                continue
             expected = self.spark.read.parquet(f"{self.folder}/manifest/{batch}")
-            out += [(r[0], r[1]) for r in problems(expected, manifest(self.spark, f"{self.folder}/turns/batch={batch}")).orderBy("path").limit(100).collect()]
+            name = F.substring_index("path", "/turns/", -1)
+            counts = row_counts(self.spark, folder).select(name.alias("of"), "turns")
+            actual = manifest(self.spark, folder)
+            actual = actual.join(counts, F.substring_index(actual["path"], "/turns/", -1) == F.col("of"), "left").select("path", "size", "sha256", F.coalesce("turns", F.lit(0)).alias("turns"))
+            out += [(r[0], r[1]) for r in problems(expected, actual).orderBy("path").collect()]
         return out
 
+    def _unreadable(self, name: str, schema: str) -> list[tuple[str, str]]:
+        path, fs = self._fs(name)
+        if not fs.exists(path):
+            return [(f"{self.folder}/{name}", "missing")]
+        try:
+            self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").count()
+        except Exception as e:  # noqa: BLE001  whatever makes it unreadable is the finding
+            return [(f"{self.folder}/{name}", f"unreadable: {type(e).__name__}")]
+        return []
+
     def coverage(self) -> dict:
         held = self.turns()
         row = bounds(held).first().asDict() if held is not None else {"content_from": None, "content_to": None, "turns": 0, "sessions": 0}

@@ -7,16 +7,26 @@ with path and off, by which the archive orders records.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..plans.errors import UsageError
 from .transcripts import THREAD, plausible
 
 # Identifying arguments of a tool call, most common first, and the longest argument shown otherwise.
 IDENTIFYING = ("command", "file_path", "url", "query", "pattern", "path", "notebook_path", "skill", "subagent_type")
 LONGEST_ARGUMENT = 256
 
+# Record and payload types of the second provider.
+CODEX_TURNS = ("message", "function_call", "function_call_output")
+CODEX_SILENT = ("turn_context", "world_state", "security_risk_score", "inter_agent_communication", "inter_agent_communication_metadata")
+CODEX_SILENT_PAYLOADS = ("reasoning",)
+
 
 def field(raw: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(raw, f"$.{path}"), F.lit(""))
@@ -140,9 +150,15 @@ def _shaped(rows: DataFrame, origin: str) -> DataFrame:
 
 
 def observed(read: DataFrame) -> DataFrame:
-    """One row: lines, malformed lines, records without a type, typed prompts, records that carry command arguments."""
+    """One row: lines, malformed lines, records without a type, records of people outside of agents' branches, those of
+    them that were typed, and records that carry command arguments."""
     raw = F.col("raw")
-    return read.agg(F.count("*").alias("lines"), F.count_if(~plausible(raw)).alias("malformed"), F.count_if(plausible(raw) & (field(raw, "type") == "")).alias("untyped"), F.count_if(field(raw, "promptSource") == "typed").alias("typed"), F.count_if(F.contains(raw, F.lit("<command-args>"))).alias("command_args"))
+    ok = plausible(raw)
+    main = ok & (field(raw, "type") == "user") & ~lenient_bool(raw, "isSidechain")
+    talk = F.get_json_object(raw, "$.message.content")
+    shaped = main & F.coalesce(talk != "", F.lit(False)) & ~F.contains(talk, F.lit('"tool_result"')) & ~F.startswith(F.ltrim(talk), F.lit("<"))
+    count = lambda c, n: F.count_if(c).alias(n)
+    return read.agg(F.count("*").alias("lines"), count(~ok, "malformed"), count(ok & (field(raw, "type") == ""), "untyped"), count(shaped, "human_shaped"), count(main & (field(raw, "promptSource") == "typed"), "typed"), count(F.contains(raw, F.lit("<command-args>")), "command_args"))
 
 
 def unknown_types(read: DataFrame) -> DataFrame:
@@ -151,5 +167,67 @@ def unknown_types(read: DataFrame) -> DataFrame:
     return read.where(plausible(F.col("raw"))).select(kind.alias("type")).where((F.col("type") != "") & ~F.col("type").isin(*S.KNOWN_TYPES)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-#: Decoders by the name of their store.
+def codex_kinds(read: DataFrame) -> DataFrame:
+    """(type, payload, n, fate) of the second provider's records by envelope and payload: identity, turn, telemetry (the
+    event stream, which says again what records say), silent (nothing to read) or unknown."""
+    raw = F.col("raw")
+    kinds = read.where(plausible(raw)).select(field(raw, "type").alias("type"), F.when(field(raw, "type") == "response_item", field(raw, "payload.type")).otherwise("").alias("payload"))
+    t, p = F.col("type"), F.col("payload")
+    fate = F.when(t == "session_meta", "identity").when((t == "compacted") | ((t == "response_item") & p.isin(*CODEX_TURNS)), "turn").when(t == "event_msg", "telemetry").when(t.isin(*CODEX_SILENT) | ((t == "response_item") & p.isin(*CODEX_SILENT_PAYLOADS)), "silent").otherwise("unknown")
+    return kinds.groupBy("type", "payload").agg(F.count("*").alias("n")).withColumn("fate", fate)
+
+
+def codex_observed(read: DataFrame) -> DataFrame:
+    """One row: lines, malformed and untyped ones, telemetry dropped, turns that a summary replaced."""
+    raw = F.col("raw")
+    ok = plausible(raw)
+    replaced = F.when(field(raw, "type") == "compacted", F.coalesce(F.json_array_length(F.get_json_object(raw, "$.payload.replacement_history")), F.lit(0))).otherwise(0)
+    return read.agg(F.count("*").alias("lines"), F.count_if(~ok).alias("malformed"), F.count_if(ok & (field(raw, "type") == "")).alias("untyped"), F.count_if(field(raw, "type") == "event_msg").alias("telemetry"), F.coalesce(F.sum(replaced), F.lit(0)).cast("long").alias("replaced"))
+
+
+def codex_unknown(read: DataFrame) -> DataFrame:
+    """(type, n) of envelopes and payloads that aren't known."""
+    name = F.when(F.col("payload") != "", F.concat_ws("/", "type", "payload")).otherwise(F.col("type"))
+    return codex_kinds(read).where("fate = 'unknown' AND type <> ''").select(name.alias("type"), "n")
+
+
+#: Decoders by the name of their store, and what each counts of records it read.
 PROVIDERS = {"claude-code": claude_turns, "codex": codex_turns}
+OBSERVERS = {"claude-code": lambda read: {"counts": observed(read), "unknown": unknown_types(read)}, "codex": lambda read: {"counts": codex_observed(read), "unknown": codex_unknown(read)}}
+
+# Environment variables by which an agent is detected.
+AGENT_MARKS = (("CODEX_THREAD_ID", "codex"), ("CODEX_SESSION_ID", "codex"), ("GEMINI_CLI", "gemini"), ("CURSOR_AGENT", "cursor"))
+
+
+@dataclass(frozen=True)
+class Selection:
+    """Which stores a question reads, and why."""
+
+    agents: tuple[str, ...]
+    reason: str
+    fell_back: bool = False
+
+
+def select_agents(wanted: str = "", environ: Mapping[str, str] | None = None, readable: Callable[[str], bool] = lambda _: True) -> Selection:
+    """The agents named, else those of the environment (TURNLAKE_AGENT), else the one that is asking, else the default.
+
+    ``all`` is every store that can be read. An agent that was asked for by name must be known; one that was only
+    detected gives way to the default where it isn't known or can't be read.
+    """
+    environ = os.environ if environ is None else environ
+    name = wanted or environ.get("TURNLAKE_AGENT", "")
+    default = next(iter(PROVIDERS))
+    if name == "all":
+        return Selection(tuple(a for a in PROVIDERS if readable(a)), "all were asked for")
+    if name and name != "auto":
+        if name not in PROVIDERS:
+            raise UsageError(f"unknown agent {name!r}; known are {', '.join(PROVIDERS)}")
+        return Selection((name,), f"{name} was asked for")
+    found = next((agent for mark, agent in AGENT_MARKS if environ.get(mark)), "")
+    if not found:
+        return Selection((default,), "no other agent was detected")
+    if found not in PROVIDERS:
+        return Selection((default,), f"{found} was detected but isn't known; {default} instead", True)
+    if not readable(found):
+        return Selection((default,), f"{found} was detected but can't be read; {default} instead", True)
+    return Selection((found,), f"{found} was detected")

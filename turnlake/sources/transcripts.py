@@ -6,7 +6,9 @@ A file is one row, so it must be under 2 GB.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,15 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
+def opened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, size, mtime, content) of these files and no others."""
+    if not paths:
+        return spark.createDataFrame([], "path string, size long, mtime timestamp, content binary")
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]  # names, not patterns
+    found = spark.read.format("binaryFile").load(plain)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+
+
 def is_claude(path: Column) -> Column:
     return F.endswith(path, F.lit(".jsonl"))
 
@@ -57,9 +68,8 @@ def lines(found: DataFrame, start: Column | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows = list(split_lines(content or b"", at or 0))
-                for i in range(0, len(rows), 5000):
-                    part = rows[i : i + 5000]
+                rows = split_lines(content or b"", at or 0)
+                while part := list(islice(rows, 5000)):
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2].decode("utf-8", "replace") for r in part])], names=["path", "off", "len", "raw"])
 
     return found.select("path", "content", (start if start is not None else F.lit(0)).cast("long").alias("start")).mapInArrow(run, "path string, off long, len int, raw string")
@@ -70,10 +80,6 @@ def plausible(raw: Column) -> Column:
     return F.startswith(F.trim(raw), F.lit("{")) & F.endswith(F.trim(raw), F.lit("}"))
 
 
-def parses(raw: Column) -> Column:
-    return F.try_parse_json(raw).isNotNull()
-
-
 def marks(found: DataFrame, read: DataFrame) -> DataFrame:
     """(path, mark): where the next reading of a file starts: its end, or before a last line that isn't a whole record."""
     last = read.groupBy("path").agg(F.max_by(F.struct("off", plausible(F.col("raw")).alias("ok")), "off").alias("last"))
