@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.render import OWN_MARK
 from ..functions.text import parse_ts
+from ..plans.errors import ArchiveError
+from ..sources import repos
 
 #: The command word under which this engine's own calls are recorded as tool invocations.
 COMMAND = "turnlake"
@@ -22,7 +25,7 @@ class TurnFilter:
     agent: str = ""
     session: str = ""
     self_session: str = ""
-    drop_own_output: bool = False
+    drop_own_output: bool = True
     since: datetime.datetime | None = None
     until: datetime.datetime | None = None
 
@@ -32,6 +35,14 @@ def tiers(turns: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     return turns.where(F.col("tier").isin(*wanted))
 
 
+def scope_of(scope: str, cwd: str = "") -> str:
+    """The repo a scope means: ``here`` is that of a working directory, or everything where that is outside any."""
+    if scope != "here":
+        return scope or "all"
+    found = repos.resolve(cwd) if cwd else repos.OUTSIDE
+    return "all" if found in ("", repos.OUTSIDE) else found
+
+
 def in_scope(repo: str) -> Column:
     """Equal to a repo, or any repo it is part of, whatever the case; ``all`` (or none) is everything."""
     if repo in ("", "all"):
@@ -40,9 +51,9 @@ def in_scope(repo: str) -> Column:
 
 
 def own_output(command: str = COMMAND) -> Column:
-    """This engine's own answers, and calls of it, recorded in a transcript."""
+    """This engine's own answers, which begin with ``OWN_MARK``, and calls of it, recorded in a transcript."""
     text = F.col("text")
-    answer = (F.col("tier") == "result") & F.contains(text, F.lit("── ")) & F.contains(text, F.lit(" searched · "))
+    answer = (F.col("tier") == "result") & F.contains(text, F.lit(OWN_MARK))
     at = F.instr(text, f"{command} ")
     before = F.substring(text, F.greatest(at - 1, F.lit(1)), F.lit(1))
     rest = F.substring(text, at + len(command) + 1, F.lit(12))
@@ -64,7 +75,7 @@ def drop_reason(f: TurnFilter) -> Column:
         reason = reason.when(~F.contains(F.lower("agent"), F.lit(f.agent.lower())), "agent")
     if f.session:
         reason = reason.when(~F.startswith("session", F.lit(f.session)), "session")
-    if f.self_session:
+    if f.self_session and not (f.session and f.self_session.startswith(f.session)):  # unless it is asked for
         reason = reason.when(F.col("session") == f.self_session, "self")
     if f.drop_own_output:
         reason = reason.when(own_output(), "own output")
@@ -77,7 +88,7 @@ def drop_reason(f: TurnFilter) -> Column:
 
 
 def keep(turns: DataFrame, f: TurnFilter) -> DataFrame:
-    return turns.where(drop_reason(f).isNull()) if f != TurnFilter() else turns
+    return turns.where(drop_reason(f).isNull())
 
 
 def dropped(turns: DataFrame, f: TurnFilter) -> DataFrame:
@@ -92,4 +103,4 @@ def resolve_session(turns: DataFrame, prefix: str) -> str:
         return prefix if prefix in found else found[0]
     if not turns.where(F.col("session") == prefix).isEmpty():
         return prefix
-    raise LookupError(f"no session starts with {prefix!r}" if not found else f"{prefix!r} starts several sessions: {', '.join(found[:5])}")
+    raise ArchiveError(f"no session starts with {prefix!r}" if not found else f"{prefix!r} starts several sessions: {', '.join(found[:5])}")

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field, replace
 
 from .. import schema as S
 from ..functions.text import fold_text
+from .errors import UsageError
 
 
-class QueryError(ValueError):
+class QueryError(UsageError):
     """A query or option that can't be run."""
 
 
@@ -117,5 +118,7 @@ def check_options(limit: int = 10, hits: int = 3, sort: str = "concentration", s
         raise QueryError(f"unknown sort {sort!r}")
     if since and until and since > until:
         raise QueryError("since is after until")
+    if author not in ("", "human", "assistant", "agent", "system"):
+        raise QueryError(f"unknown author {author!r}")
     if mine and author and author != "human":
         raise QueryError("mine and author exclude each other")
