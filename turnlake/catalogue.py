@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import text as X
+from .functions.render import OWN_MARK
 from .operators import context, filters, matching, ranking, survey
 from .operators.filters import TurnFilter
 from .plans.compile import CompiledQuery, compile_query
-from .sources.tables import TURNS3_SQL, turns3
+from .sources.tables import TURNS3_SQL, table, turns3
 
 CONV = ("conversation",)
 MIXED = "thing ershe zzqq"
@@ -97,12 +98,13 @@ def filter_drop_reason(spark, sf_dir):
     return filters.dropped(turns3(spark, sf_dir), TurnFilter(author="assistant", branch="main", self_session="c000003", drop_own_output=True, since=SINCE))
 
 
-OWN = [("result", "── a · 3 searched · b"), ("result", "── a"), ("invocation", "turnlake find x"), ("invocation", "/bin/turnlake find x"), ("invocation", "cd x && turnlake show 1"), ("invocation", "turnlake --help"), ("invocation", "turnlake other"), ("conversation", "turnlake find x")]
+MARKED = "CASE WHEN length(text) % 3 = 0 THEN '{mark}' || chr(10) || text WHEN length(text) % 3 = 1 THEN 'cd x && turnlake find ' || text ELSE '/bin/turnlake find ' || text END"
 
 
-@query("""SELECT tier, text FROM (VALUES ('result', '── a'), ('invocation', '/bin/turnlake find x'), ('invocation', 'turnlake other'), ('conversation', 'turnlake find x')) v(tier, text)""")
+@query(f"""SELECT session, uuid, tier FROM turns WHERE NOT ((tier = 'result' AND length(text) % 3 = 0) OR (tier = 'invocation' AND length(text) % 3 = 1))""")
 def filter_own_output(spark, sf_dir):
-    return spark.createDataFrame(OWN, "tier string, text string").where(~filters.own_output())
+    marked = turns3(spark, sf_dir).withColumn("text", F.expr(MARKED.format(mark=OWN_MARK).replace("chr(10)", "char(10)")))
+    return slim(marked.where(~filters.own_output()))
 
 
 @query("""SELECT session, uuid, tier FROM turns WHERE tier = 'conversation' AND contains(folded, 'thing') AND NOT contains(folded, 'ershe') AND NOT contains(folded, 'of the')""")
@@ -139,14 +141,10 @@ def match_phrase(spark, sf_dir):
     return slim(matching.matched(turns3(spark, sf_dir, CONV), compile_query('"of the"', tiers=CONV)))
 
 
-SYNONYM_ROWS = ["the id is 7", "a video", "user_id here", "id2 next", "identifiers", "provide", "xid7", "Id", "éid", "no match"]
-
-
-@query("""SELECT text FROM (VALUES ('the id is 7'), ('a video'), ('user_id here'), ('id2 next'), ('identifiers'), ('provide'), ('xid7'), ('Id'), ('éid'), ('no match')) v(text) WHERE contains(lower(text), 'identifier') OR regexp_matches(lower(text), '(^|[^a-z\\x{80}-\\x{10ffff}])id($|[^a-z\\x{80}-\\x{10ffff}])')""".replace("\\\\", "\\"))
+@query(r"""SELECT session, uuid, tier FROM (SELECT *, lower(replace(text, 'he', 'id')) AS t FROM turns) WHERE contains(t, 'identifier') OR regexp_matches(t, '(^|[^a-z\x{80}-\x{10ffff}])id($|[^a-z\x{80}-\x{10ffff}])')""")
 def match_synonym_word(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in SYNONYM_ROWS], "text string")
-    term = compile_query("identifier").terms[0]
-    return rows.where(matching.satisfied(X.fold(F.col("text")), term))
+    rows = turns3(spark, sf_dir).withColumn("text", F.replace("text", F.lit("he"), F.lit("id")))
+    return slim(rows.where(matching.satisfied(X.fold(F.col("text")), compile_query("identifier").terms[0])))
 
 
 FOUND_SQL = "SELECT session, uuid, tier, text, folded, author, agent, ts, repo, branch, contains(folded, 'thing')::INT + contains(folded, 'ershe')::INT + contains(folded, 'zzqq')::INT AS found FROM turns WHERE tier = 'conversation'"
@@ -165,7 +163,7 @@ def match_all_terms(spark, sf_dir):
     return slim(matching.Relaxed(turns3(spark, sf_dir, CONV), q).turns)
 
 
-@query("""SELECT * FROM (VALUES ('thing', true), ('ershe', true), ('zzqq', false)) v(term, carried)""")
+@query(RELAXED_SQL + """ SELECT term, carried FROM (SELECT coalesce(bool_or(contains(folded, 'thing')), false) AS thing, coalesce(bool_or(contains(folded, 'ershe')), false) AS ershe, coalesce(bool_or(contains(folded, 'zzqq')), false) AS zzqq FROM m) UNPIVOT (carried FOR term IN (thing, ershe, zzqq))""")
 def match_carried(spark, sf_dir):
     q = compile_query(MIXED, tiers=CONV)
     carried = matching.Relaxed(turns3(spark, sf_dir, CONV), q).carried()
@@ -221,13 +219,10 @@ def hits_case_boundary(spark, sf_dir):
     return rows.select("text", F.explode(X.spans(F.col("text"), X.fold(F.col("text")), "limiter")).alias("s")).select("text", "s.offset", "s.match")
 
 
-KELVIN = chr(0x212A)  # its lower case, k, is narrower
-FOLD_ROWS = ["ΟΔΟΣ", "İstanbul", "ẞ Straße", f"{KELVIN} KELVIN", "ÀÉÎ", "ABC"]
-
-
-@query(f"""SELECT * FROM (VALUES ('ΟΔΟΣ', 'οδοσ'), ('İstanbul', 'İstanbul'), ('ẞ Straße', 'ẞ straße'), ('{KELVIN} KELVIN', '{KELVIN} kelvin'), ('ÀÉÎ', 'àéî'), ('ABC', 'abc')) v(text, folded)""")
+@query("""SELECT doc_id, sha256(lower(text)) AS folded, strlen(text)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL""")
 def fold_width(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in FOLD_ROWS], "text string").select("text", X.fold(F.col("text")).alias("folded"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded"), F.octet_length(X.fold(F.col("text"))).cast("long").alias("bytes"))
 
 
 # --- survey
@@ -408,23 +403,18 @@ def show_windows_tail(spark, sf_dir):
 # --- functions
 
 
-@query("""SELECT * FROM (VALUES ('2026-08-01', false), ('2026-08-01T10:00:00Z', true), ('2026-08-01T10:00:00', false), ('2026-08-01T10:00:00.123456+02:00', true), ('x', false), ('2026-13-01T10:00:00Z', false)) v(ts, dated)""")
+STAMPS = "CASE length(uuid) % 4 WHEN 0 THEN ts WHEN 1 THEN substr(ts, 1, 10) WHEN 2 THEN replace(ts, 'Z', '') ELSE replace(ts, 'Z', '.125+02:00') END"
+
+
+@query(f"""SELECT session, uuid, tier, {STAMPS} AS ts, ts <> '' AND length(uuid) % 4 IN (0, 3) AS dated FROM turns""")
 def parse_time(spark, sf_dir):
-    rows = ["2026-08-01", "2026-08-01T10:00:00Z", "2026-08-01T10:00:00", "2026-08-01T10:00:00.123456+02:00", "x", "2026-13-01T10:00:00Z"]
-    return spark.createDataFrame([(r,) for r in rows], "ts string").select("ts", X.parse_ts(F.col("ts")).isNotNull().alias("dated"))
+    return turns3(spark, sf_dir).withColumn("ts", F.expr(STAMPS)).select("session", "uuid", "tier", "ts", F.coalesce(X.parse_ts(F.col("ts")).isNotNull(), F.lit(False)).alias("dated"))
 
 
-REMOTES = [
-    ("https://github.com/Acme/Pay.git", "github.com/acme/pay"),
-    ("https://user:tok@github.com:8443/Acme/Pay/", "github.com/acme/pay"),
-    ("git@github.com:Acme/Pay.git", "github.com/acme/pay"),
-    ("ssh://git@host.example:22/a/b.git", "host.example/a/b"),
-    ("/srv/git/repo.git", "srv/git/repo"),
-    ("  ", ""),
-    ("file:///srv/x", "srv/x"),
-]
+REMOTE = "CASE length(uuid) % 3 WHEN 0 THEN 'https://user:tok@Host.example:8443/' || repo || '.git' WHEN 1 THEN 'git@Host.example:' || repo || '.git' ELSE 'ssh://git@Host.example:22/' || repo || '/' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in REMOTES) + ") v(remote, id)")
+@query(f"""SELECT DISTINCT {REMOTE} AS remote, 'host.example/' || lower(ltrim(repo, '/')) AS id FROM turns WHERE repo <> ''""")
 def remote_normalize(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in REMOTES], "remote string").select("remote", X.remote_id(F.col("remote")).alias("id"))
+    remotes = turns3(spark, sf_dir).where("repo <> ''").select(F.expr(REMOTE).alias("remote")).distinct()
+    return remotes.select("remote", X.remote_id(F.col("remote")).alias("id"))
\ No newline at end of file
