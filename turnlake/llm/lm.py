@@ -62,6 +62,17 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers that aren't negative in as few bytes each as the largest takes; the last byte says how many."""
+    most = int(x.max()) if len(x) else 0
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return x.astype(f"u{size}").tobytes() + bytes([size])
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[-1]}", (len(b) - 1) // b[-1])
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
@@ -88,7 +99,7 @@ class Block:
     codes: np.ndarray
 
     def __post_init__(self):
-        self.contexts = np.r_[0, self.numbers[:-1]] if len(self.numbers) else self.numbers
+        self.contexts = np.concatenate([np.zeros(1, np.int32), self.numbers[:-1]]) if len(self.numbers) else self.numbers
         self.trained = np.repeat(~self.docs["held"], self.docs["n"])
 
     def buckets(self, heavy: Heavy, n_buckets: int) -> np.ndarray:
@@ -145,8 +156,8 @@ def blocks(ids: list, texts: list[bytes | None], tokens: int) -> Iterator[Block]
         if docs and (held + len(words) > tokens or len(docs) >= HELD - 1):
             yield made()
             numbers, parts, docs, held = _Numbers(), [], [], 0
-        found = np.zeros(len(words) + 1, np.int64)
-        found[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        found = np.zeros(len(words) + 1, np.int32)
+        found[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         parts.append(found)
         docs.append((doc or 0, doc is None, held_out(doc), len(found)))
         held += len(found)
@@ -166,23 +177,25 @@ def count_words(block: Block, heavy: Heavy, n_buckets: int) -> list[tuple]:
     bucket = np.where(heavy.has(block.codes)[block.numbers], -1, block.buckets(heavy, n_buckets))
     keys = (bucket + 1) * n + block.numbers
     order = np.argsort(keys)
-    heads = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+    keys = keys[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    del keys
     counts = np.add.reduceat(block.trained[order].astype(np.int64), heads)
     word, bucket = block.numbers[order[heads]], bucket[order[heads]]
     part = (block.codes[word] >> np.uint64(20)) % np.uint64(n_buckets)
     by = np.argsort(part, kind="stable")
-    return [(p, block.codes[word[by[a:b]]].tobytes(), bucket[by[a:b]].tobytes(), counts[by[a:b]].astype(np.uint32).tobytes()) for p, a, b in slices(part[by].astype(np.int64))]
+    return [(p, block.codes[word[by[a:b]]].tobytes(), pack(bucket[by[a:b]] + 1), pack(counts[by[a:b]])) for p, a, b in slices(part[by].astype(np.int64))]
 
 
 def sum_words(table: pa.Table) -> pa.Table:
     """Of a part's words the training counts: to each bucket those it has, to -1 those of heavy words; and a row of sums."""
     rows = table.to_pydict()
-    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]])
-    codes, buckets, counts = join("codes", np.uint64), join("buckets", np.int64), join("counts", np.uint32)
+    codes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["codes"]])
+    buckets, counts = (np.concatenate([unpack(x).astype(np.int64) for x in rows[c]]) for c in ("buckets", "counts"))
     words, at = np.unique(codes, return_inverse=True)
     total = np.bincount(at, counts).astype(np.int64)
     out = [(None, None, None, int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total.sum()))]
-    keys = np.unique((buckets + 1) * len(words) + at)
+    keys = np.unique(buckets * len(words) + at)  # buckets count from 1 here, 0 being that of heavy words
     for b, lo, hi in slices(keys // len(words)):
         w = keys[lo:hi] % len(words)
         out.append((b - 1, words[w].tobytes(), total[w].tobytes(), 0, 0, 0, 0))
@@ -192,23 +205,25 @@ def sum_words(table: pa.Table) -> pa.Table:
 def invert(block: Block, heavy: Heavy, n_buckets: int) -> Iterator[tuple]:
     """Rows (bucket, contexts, spans, words, dishes, sizes, posts) of a block's entries."""
     n = len(block.codes)
-    keys = block.contexts * n + block.numbers
+    keys = block.contexts.astype(np.int64) * n + block.numbers
     order = np.argsort(keys, kind="stable")
-    heads = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-    sizes = np.diff(np.r_[heads, len(keys)])
+    keys = keys[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    del keys
+    sizes = np.diff(np.r_[heads, len(order)])
     bucket = block.buckets(heavy, n_buckets)[order[heads]]
     by = np.argsort(bucket, kind="stable")
     bucket, heads, sizes = bucket[by], heads[by], sizes[by]
     stop = np.cumsum(sizes)
-    tokens = order[np.repeat(heads - (stop - sizes), sizes) + np.arange(len(keys))]
+    tokens = order[np.repeat(heads - (stop - sizes), sizes) + np.arange(len(order))]
     posts = np.repeat(np.arange(len(block.docs)) | block.docs["held"] * HELD, block.docs["n"]).astype(np.uint16)[tokens]
     context, word = block.contexts[order[heads]], block.numbers[order[heads]]
     begin = stop - sizes
     for b, lo, hi in slices(bucket):
         runs = slices(context[lo:hi])
         words, dishes = np.unique(word[lo:hi], return_inverse=True)
-        spans = np.array([z - a for _, a, z in runs], np.uint32)
-        yield b, block.codes[[c for c, *_ in runs]].tobytes(), spans.tobytes(), block.codes[words].tobytes(), dishes.astype(np.uint32).tobytes(), sizes[lo:hi].astype(np.uint32).tobytes(), posts[begin[lo] : stop[hi - 1]].tobytes()
+        spans = np.array([z - a for _, a, z in runs])
+        yield b, block.codes[[c for c, *_ in runs]].tobytes(), pack(spans), block.codes[words].tobytes(), pack(dishes), pack(sizes[lo:hi]), posts[begin[lo] : stop[hi - 1]].tobytes()
 
 
 def log_rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -321,7 +336,8 @@ class Bucket:
     def __init__(self, rows: dict, base: dict, heavy: Heavy):
         self.blocks = rows["block"]
         read = lambda c, t: [np.frombuffer(x, t) for x in rows[c]]
-        context, spans, word, dish, size, self.posts = read("contexts", np.uint64), read("spans", np.uint32), read("words", np.uint64), read("dishes", np.uint32), read("sizes", np.uint32), read("posts", np.uint16)
+        context, word, self.posts = read("contexts", np.uint64), read("words", np.uint64), read("posts", np.uint16)
+        spans, dish, size = ([unpack(x) for x in rows[c]] for c in ("spans", "dishes", "sizes"))
         self.sizes, self.entries = size, [len(d) for d in dish]
         self.contexts, u = np.unique(np.concatenate(context), return_inverse=True)
         self.words, w = np.unique(np.concatenate(word), return_inverse=True)
@@ -396,10 +412,11 @@ class Bucket:
             entry = np.repeat(self.use[first : first + n], sizes)
             first += n
             at, doc = np.unique(posts & np.uint16(HELD - 1), return_inverse=True)
-            yield block, at.tobytes(), np.bincount(doc, logs[entry]).tobytes(), np.bincount(doc, base[entry]).tobytes(), np.bincount(doc, known[entry]).astype(np.uint32).tobytes()
+            steps = np.diff(at.astype(np.int64), prepend=0)  # small where most documents of the block are in the bucket
+            yield block, pack(steps), np.bincount(doc, logs[entry]).tobytes(), np.bincount(doc, base[entry]).tobytes(), pack(np.bincount(doc, known[entry]).astype(np.int64))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, seed: int = 11, block_tokens: int = 1_500_000, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn: int = 1, seed: int = 11, block_tokens: int = 1_000_000, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     size = text_bytes(docs, text_col)
@@ -474,10 +491,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scores, base, known = np.zeros(len(of)), np.zeros(len(of)), np.zeros(len(of), np.int64)
         for r in rows:
             if r["docs"] is None:
-                at = np.frombuffer(r["at"], np.uint16)
+                at = np.cumsum(unpack(r["at"]), dtype=np.int64)
                 scores[at] += np.frombuffer(r["score"], np.float64)
                 base[at] += np.frombuffer(r["base"], np.float64)
-                known[at] += np.frombuffer(r["known"], np.uint32)
+                known[at] += unpack(r["known"]).astype(np.int64)
         return pa.Table.from_arrays(
             [pa.array(of["id"], mask=of["null"]), pa.array(of["held"]), pa.array(of["n"]), pa.array(known), pa.array(np.full(len(of), tokens, np.int64)), pa.array(base), pa.array(scores), pa.array(10 ** np.minimum(-scores / of["n"], 300))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
