@@ -134,6 +134,73 @@ def test_scores_and_verdicts_by_plain_counting(spark, make):
     assert abs(verdict.threshold - cut) < 1e-12 and set(verdict.rates) == {f"rejected_{k}{n}" for k in ("trusted", "rejected") for n in ("", "_best_cut")}
 
 
+def test_all_labels_count_for_the_ratio_and_the_threshold(spark):
+    """More labelled documents of a kind than the 20,000 that a sample once held."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(60)])
+    n = 20_600
+    shown = rng.integers(0, 30, (n, 12)) + rng.integers(0, 31, (n, 1)) * (np.arange(n) % 40 > 0)[:, None]
+    texts = [" ".join(words[x]) for x in shown]
+    is_good = np.arange(n) % 40 > 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(is_good)] + [(n + i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        verdict = quality.fit(docs, labels, buckets=256)
+        kept = {r["doc_id"] for r in quality.quality_rules(docs, labels, buckets=256).where("kept").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    known, counts = quality._Tokens(), np.zeros((2, 256))
+    for t, g in zip(texts, is_good, strict=True):
+        counts[int(g)] += np.bincount(quality.ngram_buckets(t, 256, known), minlength=256)
+    raw, target = counts.sum(0), counts[1]
+    ratio = np.log((target + 1) / (target.sum() + 256)) - np.log((raw + 1) / (raw.sum() + 256))
+    assert np.abs(verdict.ratio - ratio).max() < 1e-12
+    scores = np.array([verdict.score(t, known) for t in texts])
+    sound = np.array([not quality.base_failed(*np.array(quality.base_counts(t))[[0, 4]]) for t in texts])
+    g, b = np.sort(scores[sound & is_good]), np.sort(scores[sound & ~is_good])
+    assert len(g) > 20_000 and len(b) > 500
+    cuts = np.unique(np.concatenate([g, b]))
+    best = cuts[np.argmax(np.searchsorted(b, cuts) / len(b) - np.searchsorted(g, cuts) / len(g))]
+    assert verdict.threshold == min(best, g[int(0.02 * len(g))])
+    rates = [(b < best).mean(), (g < best).mean(), (b < verdict.threshold).mean(), (g < verdict.threshold).mean()]
+    assert [verdict.rates[f"rejected_{k}"] for k in ("rejected_best_cut", "trusted_best_cut", "rejected", "trusted")] == pytest.approx(rates)
+    assert kept == set(np.flatnonzero(sound & (scores >= verdict.threshold)).tolist())
+
+
+@pytest.mark.parametrize("spare", [0.0, 0.02, 0.5, 1.0])
+def test_threshold_over_partitions_by_plain_sorting(spark, spare):
+    """Many ties and several range partitions; either kind alone gives no threshold."""
+    rng = np.random.default_rng(10)
+    rows = [(bool(x), float(s)) for x, s in zip(rng.random(800) < 0.6, np.round(rng.normal(0, 1, 800), 1), strict=True)]
+    rows = [(g, s + 0.4 * g) for g, s in rows]
+    g, b = (np.sort([s for k, s in rows if k is kind]) for kind in (True, False))
+    cuts = np.unique(np.concatenate([g, b]))
+    best = cuts[np.argmax(np.searchsorted(b, cuts) / len(b) - np.searchsorted(g, cuts) / len(g))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scores = spark.createDataFrame(rows, "good boolean, score double").repartition(3)
+        cut, rates = quality.place_threshold(scores, spare)
+        assert cut == (best if spare >= 1 else min(best, g[int(spare * len(g))]))
+        assert rates["rejected_rejected_best_cut"] == pytest.approx((b < best).mean()) and rates["rejected_trusted"] == pytest.approx((g < cut).mean())
+        assert quality.place_threshold(scores.where("good"), spare)[0] == -np.inf
+        assert quality.place_threshold(scores.limit(0), spare)[0] == -np.inf
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_many_rows_of_one_id_or_none_and_labels_of_one_id(spark, make):
+    rows = [(None, f"a{i} " * 4 + " ".join(f"w{j + i}" for j in range(9))) for i in range(60)] + [(5, " ".join(f"v{j * i}" for j in range(12))) for i in range(60)] + [(6, "x y z")]
+    labels = spark.createDataFrame([(5, 1, 0)] * 40 + [(5, 0, 0)] * 3 + [(None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(make(rows), labels, buckets=128).collect()
+    assert len(got) == len(rows)
+    target = sum(np.bincount(quality.ngram_buckets(t, 128, quality._Tokens()), minlength=128) for i, t in rows if i == 5)
+    raw = target + sum(np.bincount(quality.ngram_buckets(t, 128, quality._Tokens()), minlength=128) for i, t in rows if i != 5)
+    ratio = np.log((target + 1) / (target.sum() + 128)) - np.log((raw + 1) / (raw.sum() + 128))
+    assert np.abs(quality.fit(make(rows), labels, buckets=128).ratio - ratio).max() < 1e-12
+    assert {r["doc_id"] for r in quality.accepted(make(rows), labels, buckets=128).collect()} == {r["doc_id"] for r in got if r["kept"]}
+
+
 VALUES = ["4845168114407329", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "97.51.17.173", "+1 (663) 555-6869", "663-555-6869", "2024-02-29", "29/02/2024", "02/29/2024", "31.12.1999", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "Ann.34@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "+44 20 7946 0958", "+353 1 496 0123", "2001:db8:85a3::8a2e:370:7334", "иван.Петров@пример.рф", "山田@example.jp", "John.Smith@example.com"]
 NOT_VALUES = ["9807915762804490", "300.1.1.1", "2023-02-29", "000-12-1234", "DE89370400440532013001", "12345", "v1.2.3", "0000000000000000", "a1b2", "1.2.3.4.5", "12:30:45", "::1", "+99 12", "..@example.com"]
 
