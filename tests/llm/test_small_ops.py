@@ -333,6 +333,23 @@ def test_long_pages_take_time_by_their_length(piece):
     assert warc.Page(f"a{piece}").text.startswith("a")
 
 
+@pytest.mark.parametrize("letter", ["é", "日", "\U0001f600"])
+def test_letters_outside_ascii_take_little_more_time(letter):
+    import time
+
+    def took(letter):
+        page, times = ("<p>" + f"One Two Three {letter}our " * 40 + "</p>") * 2000, []
+        for _ in range(5):
+            began = time.process_time()
+            warc.Page(page)
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert took(letter) < 3 * took("e")
+    page = warc.Page(f'<HTML lang="fr"><TITLE>İ{letter}</Title>İ<SCRIPT>x</ScRiPt>{letter}<P>İ\ud800<A HREF="/{letter}">K</a>< b')
+    assert (page.text, page.title, page.lang, page.links) == (f"İ{letter}\nİ {letter}\nİ\ud800K< b", f"İ{letter}", "fr", [f"/{letter}"])
+
+
 def test_codings_and_header_cases():
     import gzip
 

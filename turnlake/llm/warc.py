@@ -23,7 +23,6 @@ import base64
 import hashlib
 import html
 import re
-import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = uuid.UUID("6f0c9d8e-52f6-5a44-9d7a-0b6a6d1b2f11")
-NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
+#: What opens a comment (1), a closing tag (2: its name) or a tag (3: its name); a declaration or a closing tag without a name has no group. None holds a ">".
+MARK = re.compile(r"<(?:(!--)|/([a-zA-Z][a-zA-Z0-9-]*)?|([a-zA-Z][a-zA-Z0-9-]*)|[!?])")
+LINE_ENDS = re.compile(r"[\r\n]+")
 HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 HIDDEN = frozenset("script style template noscript head".split())
 BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section header footer nav main aside blockquote pre dl dt dd hr form figure title body html".split())
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def digest(block: bytes) -> str:
@@ -56,7 +56,12 @@ def record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
 
 
 def one_line(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return LINE_ENDS.sub(" ", value) if "\n" in value or "\r" in value else value
+
+
+def lowered(page: str) -> str:
+    """A-Z in lower case, every character in its place; ``str.translate`` takes a dictionary lookup a character outside ASCII."""
+    return page.lower() if page.isascii() else page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def headers(block: bytes) -> list[tuple[str, str]]:
@@ -151,33 +156,36 @@ class Page:
     """The visible text, links, title and language of a page, from one pass over it that looks at no place twice."""
 
     def __init__(self, page: str):
-        low = page.translate(LOWER)
+        low = lowered(page)
         self.links: list[str] = []
         out: list[str] = []
         unclosed: set[str] = set()
         at, n = 0, len(page)
-        while at < n:
-            i = page.find("<", at)
-            if i < 0:
-                break
+        while mark := MARK.search(page, at):
+            i = mark.start()
             out.append(page[at:i])
-            if page.startswith("<!--", i):
+            kind = mark.lastindex
+            if kind == 1:
                 end = page.find("-->", i + 4)
                 at = n if end < 0 else end + 3
                 out.append(" ")
                 continue
-            if page[i + 1 : i + 2] not in ("/", "!", "?") and not (page[i + 1 : i + 2].isascii() and page[i + 1 : i + 2].isalpha()):
-                out.append("<")
-                at = i + 1
-                continue
-            end = page.find(">", i)
+            end = page.find(">", mark.end())
             if end < 0:  # no tag from here on
                 at = i
                 break
-            m = NAME.match(page, i)
-            name = m[1].translate(LOWER) if m else ""
             at = end + 1
-            if name in HIDDEN and page[i + 1] != "/" and name not in unclosed:
+            if kind is None:
+                continue
+            name = mark[kind].lower()
+            if name in BREAKS:
+                out.append("\n")
+            elif kind == 2:
+                continue
+            elif name == "a":
+                if m := HREF.search(page, i, at):
+                    self.links.append(html.unescape(next((x for x in m.groups() if x), "")))
+            elif name in HIDDEN and name not in unclosed:
                 close = low.find(f"</{name}", end)
                 if close >= 0:
                     stop = page.find(">", close)
@@ -187,10 +195,6 @@ class Page:
                 else:
                     unclosed.add(name)
                 out.append(" ")
-            elif name in BREAKS:
-                out.append("\n")
-            elif name == "a" and page[i + 1] != "/" and (m := HREF.search(page, i, end + 1)):
-                self.links.append(html.unescape(next((x for x in m.groups() if x), "")))
         out.append(page[at:])
         self.links = [x for x in self.links if x]
         lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
@@ -225,9 +229,9 @@ def derived(raw: bytes) -> list[dict]:
     ids = {kind: record_id(kind, source, uri) for kind in blocks}
     out = []
     for kind, (content, block) in blocks.items():
-        other = ids["conversion" if kind == "metadata" else "metadata"]
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", other if kind == "metadata" else None), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(block) if kind == "conversion" else None), ("Content-Type", content)]
-        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": content, "content_length": len(block), "block_digest": digest(block), "source_digest": r.digest, "source_headers": "\r\n".join(f"{k}: {v}" for k, v in r.http), "record": record(fields, block)})
+        other, own = ids["conversion" if kind == "metadata" else "metadata"], digest(block)
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", other if kind == "metadata" else None), ("WARC-Block-Digest", own), ("WARC-Payload-Digest", own if kind == "conversion" else None), ("Content-Type", content)]
+        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": content, "content_length": len(block), "block_digest": own, "source_digest": r.digest, "source_headers": "\r\n".join(f"{k}: {v}" for k, v in r.http), "record": record(fields, block)})
     return out
 
 
