@@ -58,6 +58,22 @@ def test_named_phrases_depend_on_the_window_alone():
     assert set(other.tolist()) <= set(hashes.tolist())
 
 
+def test_occurrences_by_brute_force_and_branches_of_states(monkeypatch):
+    """Phrases over few and over very many different words; no state of an automaton has thousands of branches."""
+    import ahocorasick
+
+    made, rng = [], np.random.default_rng(3)
+    kind = ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", lambda *a: made.append(kind(*a)) or made[-1])
+    few, many = rng.integers(0, 3, 3000), np.r_[rng.permutation(70_000), np.arange(5000, 9000), 1_200_000]
+    for numbers, patterns in ((few, np.arange(0, 200, 5)), (many, np.arange(0, 60_000, 12)), (many, np.array([70_000, 73_000, 73_993])), (few, np.empty(0, np.int64)), (few[:0], np.empty(0, np.int64))):
+        wanted = {tuple(numbers[p : p + 8].tolist()) for p in patterns.tolist()}
+        want = [i for i in range(len(numbers) - 7) if tuple(numbers[i : i + 8].tolist()) in wanted] if wanted else []
+        assert substring.occurrences(numbers, patterns, 8).tolist() == want and len(want) >= len(patterns)
+    branches = [max(np.unique([e[0] for e in a.dump()[1]], return_counts=True)[1]) for a in made if len(a)]
+    assert len(branches) == 3 and max(branches) <= 1200
+
+
 def slow_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -6,7 +6,7 @@ in a smaller doc_id, or earlier in the same document. Documents are dealt by id
 1. *Confirm recurring phrases.* Each window names one of its ``phrase``-word runs, the one of least hash (winnowing), so
    equal windows name equal phrases. A chunk sends the hash of each phrase it names once, with one position; phrases
    named in two chunks, or twice in one, are recurring, and their positions return to the chunks that sent them.
-2. *Compile sharded automata.* A chunk compiles its recurring phrases, as sequences of word numbers, into an
+2. *Compile sharded automata.* A chunk compiles its recurring phrases, as word numbers of two letters each, into an
    Aho-Corasick automaton (pyahocorasick) and streams all its documents through it. Every window around an occurrence
    is a candidate: no other window can recur.
 3. *Decide.* Of equal candidate windows in a chunk only the earliest needs a global answer; later ones go at once. The
@@ -24,6 +24,7 @@ all others; an empty table gives an empty result; columns besides id and text ar
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +98,17 @@ def occurrences(numbers: np.ndarray, patterns: np.ndarray, phrase: int) -> np.nd
     """Start of every occurrence in ``numbers`` of the phrases that stand at ``patterns``, by one automaton."""
     import ahocorasick
 
-    # Words as characters, past the surrogates: a string is read several times faster than a tuple of numbers.
-    codes = numbers + (numbers >= 0xD800) * 0x800
-    if len(codes) and codes.max() < 0x110000:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        text = codes.astype(np.uint32).tobytes().decode("utf-32-le")
-    else:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        text = tuple(numbers.tolist())
-    for p in patterns.tolist():
-        automaton.add_word(text[p : p + phrase])
+    # A state's branches are searched in a row, and thousands of phrases begin with as many words at the root. So a word is
+    # spelled with two letters, the second from an alphabet of its own: branches grow with the root of the number of words.
+    base = math.isqrt(int(numbers.max(initial=0))) + 1
+    text = np.stack([numbers // base, numbers % base + base], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in (2 * patterns).tolist():
+        automaton.add_word(text[p : p + 2 * phrase])
     if not len(automaton):
         return np.empty(0, np.int64)
     automaton.make_automaton()
-    return np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (phrase - 1)
+    return np.fromiter((end for end, _ in automaton.iter(text)), np.int64) // 2 - (phrase - 1)
 
 
 def _packed(buckets: np.ndarray, chunk: int, kind: int, **columns: np.ndarray) -> list[tuple]:
